@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL that some of them are checked against."""
 
-from . import mixing, neardup
+from . import mixing, neardup, pii
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op9_neardup": neardup.op9_neardup,
     "op10_mixing": mixing.op10_mixing,
 }
