@@ -61,6 +61,16 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
+    sums: np.ndarray
+    down: np.ndarray
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word; of a shorter word, 0."""
+        long_enough = self.ends - self.starts >= n
+        at = self.starts[long_enough]
+        out = np.zeros(len(self.starts), dtype=np.uint64)
+        out[long_enough] = mixed((self.sums[at + n] - self.sums[at]) * self.down[at])
+        return out
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
@@ -71,7 +81,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), dtype=np.int64))
+        empty = none.astype(np.uint64)
+        return Words(empty, none, none, np.zeros(len(offsets), dtype=np.int64), empty, empty)
     inside = kind[data]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
@@ -85,7 +96,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUES[data] * up, out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), sums, down)
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
