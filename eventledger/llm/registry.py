@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL that some of them are checked against."""
 
-from . import mixing, neardup, pii, toxicity
+from . import decontam, mixing, neardup, pii, toxicity
 
 QUERIES = {
+    "op4_decontam": decontam.op4_decontam,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op9_neardup": neardup.op9_neardup,
