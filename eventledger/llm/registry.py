@@ -1,8 +1,10 @@
 """Queries of the corpus operators and the SQL that some of them are checked against."""
 
-from . import decontam, mixing, neardup, pii, toxicity
+from . import decontam, media, mixing, neardup, pii, tokenfile, toxicity
 
 QUERIES = {
+    "op1_media": media.op1_media,
+    "op7_tokenfile": tokenfile.op7_tokenfile,
     "op4_decontam": decontam.op4_decontam,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
