@@ -1,8 +1,9 @@
 """Queries of the corpus operators and the SQL that some of them are checked against."""
 
-from . import decontam, media, mixing, neardup, pii, tokenfile, toxicity
+from . import decontam, licenses, media, mixing, neardup, pii, tokenfile, toxicity
 
 QUERIES = {
+    "op6_licenses": licenses.op6_licenses,
     "op1_media": media.op1_media,
     "op7_tokenfile": tokenfile.op7_tokenfile,
     "op4_decontam": decontam.op4_decontam,
