@@ -57,29 +57,36 @@ BASE = KINDS[:4]
 BLOCK = 64
 
 
-def _quoted(pattern: str) -> str:
+def quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(kind: Kind) -> Column:
-    """array<struct<kind, start, end, value, score>> from the columns m and p of the kind."""
-    m, p, n = f"m_{kind.name}", f"p_{kind.name}", kind.name
-    others = "|".join(k.context for k in KINDS if k.name != n)
+def located(m: str, p: str) -> str:
+    """SQL for array<struct<start, end, value, near>> from an array of matches and one of the parts between them."""
     step = f"transform({m}, (x, i) -> cast(length({p}[i]) + length(x) as bigint))"
     sums = f"transform(sequence(0, (size({m}) - 1) div {BLOCK}), g -> aggregate(slice(s.step, cast(g * {BLOCK} + 1 as int), {BLOCK}), 0L, (a, b) -> a + b))"
     before = "transform(t.sums, (x, g) -> aggregate(slice(t.sums, 1, g), 0L, (a, b) -> a + b))"
     end = f"u.before[i div {BLOCK}] + aggregate(slice(u.step, cast((i div {BLOCK}) * {BLOCK} + 1 as int), cast(i % {BLOCK} + 1 as int)), 0L, (a, b) -> a + b)"
     near = f"lower(concat(right({p}[i], 40), ' ', left({p}[i + 1], 24)))"
-    score = f"least(1D, greatest(0D, {kind.prior}D + case when {near} rlike {_quoted(kind.context)} then 0.25D else 0D end - case when {near} rlike {_quoted(others)} then 0.15D else 0D end))"
-    nested = f"""
+    return f"""
       transform(array(named_struct('step', {step})), s ->
         transform(array(named_struct('step', s.step, 'sums', {sums})), t ->
           transform(array(named_struct('step', t.step, 'before', {before})), u ->
-            transform({m}, (x, i) -> named_struct('kind', '{n}', 'start', {end} - length(x), 'end', {end}, 'value', x, 'score', {score}))
+            transform({m}, (x, i) -> named_struct('start', {end} - length(x), 'end', {end}, 'value', x, 'near', {near}))
           )[0])[0])[0]"""
+
+
+def _spans(kind: Kind) -> Column:
+    """array<struct<kind, start, end, value, score>> from the columns m and p of the kind."""
+    m, p, n = f"m_{kind.name}", f"p_{kind.name}", kind.name
+    others = "|".join(k.context for k in KINDS if k.name != n)
+    bonus = f"case when y.near rlike {quoted(kind.context)} then 0.25D else 0D end"
+    malus = f"case when y.near rlike {quoted(others)} then 0.15D else 0D end"
+    score = f"least(1D, greatest(0D, {kind.prior}D + {bonus} - {malus}))"
+    scored = f"transform({located(m, p)}, y -> named_struct('kind', '{n}', 'start', y.start, 'end', y.end, 'value', y.value, 'score', {score}))"
     empty = "cast(array() as array<struct<kind string, start bigint, end bigint, value string, score double>>)"
-    kept = f"filter(spans, y -> y.score >= {kind.least}D and transform(array(y.value), x -> {kind.valid})[0])"
-    return F.expr(f"case when size({m}) > 0 then transform(array({nested}), spans -> {kept})[0] else {empty} end").alias(n)
+    kept = f"filter({scored}, y -> y.score >= {kind.least}D and transform(array(y.value), x -> {kind.valid})[0])"
+    return F.expr(f"case when size({m}) > 0 then {kept} else {empty} end").alias(n)
 
 
 def personal_data(docs: DataFrame, *keep: str) -> DataFrame:
@@ -88,10 +95,10 @@ def personal_data(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*keep, text.alias("text"))
     none = "cast(array() as array<string>)"
     for k in KINDS:
-        pattern = _quoted(k.pattern)
+        pattern = quoted(k.pattern)
         rows = rows.withColumn(f"m_{k.name}", F.expr(f"case when {k.gate} then regexp_extract_all(text, {pattern}, 0) else {none} end"))
     for k in KINDS:
-        rows = rows.withColumn(f"p_{k.name}", F.expr(f"case when size(m_{k.name}) > 0 then split(text, {_quoted(k.pattern)}, -1) else {none} end"))
+        rows = rows.withColumn(f"p_{k.name}", F.expr(f"case when size(m_{k.name}) > 0 then split(text, {quoted(k.pattern)}, -1) else {none} end"))
     return rows.select(*keep, *[_spans(k) for k in KINDS])
 
 

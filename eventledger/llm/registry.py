@@ -1,8 +1,10 @@
 """Queries of the corpus operators and the SQL that some of them are checked against."""
 
-from . import decontam, licenses, media, mixing, neardup, pii, tokenfile, toxicity
+from . import decontam, licenses, media, mixing, neardup, pii, secrets, tokenfile, toxicity, urls
 
 QUERIES = {
+    "op5_secrets": secrets.op5_secrets,
+    "op8_urls": urls.op8_urls,
     "op6_licenses": licenses.op6_licenses,
     "op1_media": media.op1_media,
     "op7_tokenfile": tokenfile.op7_tokenfile,
