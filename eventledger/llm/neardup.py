@@ -1,14 +1,16 @@
 """Near-duplicate documents: universal hash minima, banding, signature and full-set verification, components.
 
 1. One pass turns each document into its set of k-word shingles (64-bit hashes), the set's size and
-   fingerprint, 128 universal hash minima and 32 band hashes of 4 minima. At similarity 0.8 a pair
-   misses all bands with probability 5e-8.
+   fingerprint, 288 universal hash minima and 48 band hashes of 6 minima. At similarity 0.8 a pair
+   misses all bands with probability 5e-7; unrelated documents hardly ever meet.
 2. Documents with equal sets are one class; only each class's least id goes on.
-3. Within a band's bucket all members are compared with one pivot, not with each other. Signatures that
-   agree in under 55% (7 standard deviations under 0.8) end a candidate; the others are confirmed on full sets.
-4. Buckets whose members are still in several components get further pivots, twice as many each round,
-   until every bucket lies in one component or each of its members was a pivot. So no link between
-   members of a bucket is lost, and a bucket of near copies costs one comparison a member.
+3. Within a band's bucket all members are compared with one pivot, not with each other; each bucket has
+   another pivot. Signatures that agree in under 63% (7 standard deviations under 0.8) end a candidate; the
+   others are confirmed on full sets.
+4. Buckets whose members are then still in several components are searched for the links between those
+   components: members are dealt into blocks of about 128 by the largest such bucket they are in, and pairs of
+   blocks that share a bucket are compared in one task each, on full sets. So no link is lost, no row is made
+   per pair, and a bucket of any size is split.
 5. Components by alternating large-star and small-star.
 
 Defined results: null and empty texts have no set and link with nothing; a text of fewer than k words has one
@@ -29,9 +31,11 @@ from .bytewords import NON_SPACE, Words, groups, mixed, words_of
 from .common import bloom_has, bloom_of, read, staged
 from .components import components
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 #: Signatures agreeing in fewer of their BANDS * ROWS minima end a candidate.
-AGREE = 70
+AGREE = 183
+#: Members of a block.
+BLOCK = 128
 _RANDOM = np.random.default_rng(97)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -84,13 +88,13 @@ def _profiles(k: int):
                 full = n > 0
                 fp = np.zeros((2, len(n)), dtype=np.uint64)
                 bands = np.zeros((len(n), BANDS), dtype=np.uint64)
-                signature = np.zeros((len(n), BANDS * ROWS), dtype="<u2")
+                signature = np.zeros((len(n), BANDS * ROWS), dtype=np.uint8)
                 if full.any():
                     starts = at[:-1][full]
                     fp[0, full] = np.add.reduceat(mixed(sets + np.uint64(1)), starts)
                     fp[1, full] = np.add.reduceat(mixed(sets ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
                     least = minima(sets, starts)
-                    signature[full] = (least.T >> np.uint64(40)).astype(np.uint16)
+                    signature[full] = (least.T >> np.uint64(40)).astype(np.uint8)
                     by_band = least.reshape(BANDS, ROWS, -1)
                     h = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], by_band.shape[2], axis=1)
                     for r in range(ROWS):
@@ -124,33 +128,79 @@ def _sets(k: int, wanted: np.ndarray):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose signatures and then full shingle sets are similar enough."""
     sig = reps.select("rep", "signature")
-    seen = (
+    likely = (
         pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
         .join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
         .mapInArrow(_agreeing, "a long, b long")
     )
-    seen = staged(seen, "likely")
-    wanted = bloom_of(seen.select(F.col("a").alias("id")).unionByName(seen.select(F.col("b").alias("id"))).distinct().select(F.xxhash64("id").alias("h")), "h")
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    sets = hashed.mapInArrow(_sets(k, wanted), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    sets = staged(sets, "sets")
     inter = F.size(F.array_intersect("sa", "sb"))
     both = (
-        seen.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", inter.alias("inter"), (F.size("sa") + F.size("sb") - inter).alias("both"))
     )
     return staged(both.where(100 * F.col("inter") >= percent * F.col("both")).select("a", "b"), "links")
 
 
+def _between(percent: int):
+    """Links between different roots within a pair of blocks; at most one for each two roots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        reps, roots, side = (table.column(c).to_numpy() for c in ("rep", "root", "side"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
+        shingles = table.column("shingles").combine_chunks()
+        size = np.diff(shingles.offsets.to_numpy())
+        start = np.cumsum(size) - size
+        words, at = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(words), dtype=bool)
+        alone, out, seen = not side.any(), [], set()
+        for i in np.flatnonzero(side == 0):
+            others = np.flatnonzero((roots != roots[i]) & ((np.arange(len(reps)) > i) if alone else side == 1))
+            others = others[(bands[others] == bands[i]).any(axis=1)]
+            if not len(others):
+                continue
+            mark[:] = False
+            mark[at[start[i] : start[i] + size[i]]] = True
+            for j in others:
+                pair = (min(roots[i], roots[j]), max(roots[i], roots[j]))
+                if pair in seen:
+                    continue
+                inter = int(np.count_nonzero(mark[at[start[j] : start[j] + size[j]]]))
+                if 100 * inter >= percent * (int(size[i]) + int(size[j]) - inter):
+                    seen.add(pair)
+                    out.append((reps[i], reps[j]))
+        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components."""
+    known = members.where("n > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    split = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    open_ = staged(known.join(split, "bucket", "left_semi"), "open")
+    home = open_.groupBy("rep", "root").agg(F.max(F.struct("n", "bucket")).alias("h"))
+    part = F.pmod(F.xxhash64("rep"), F.expr(f"(h.n + {BLOCK - 1}) div {BLOCK}"))
+    block = staged(home.select("rep", "root", F.xxhash64("h.bucket", part).alias("block")), "blocks")
+    meets = open_.join(block.select("rep", "block"), "rep").select("bucket", "block").distinct()
+    pair = meets.join(meets.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
+    sides = pair.select(F.col("block").alias("p"), F.col("other").alias("q"), F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q")))
+    full = block.join(sets, "rep").join(reps.select("rep", "bands"), "rep")
+    groups_ = sides.join(full, "block").select("p", "q", "side", "rep", "root", "bands", "shingles").groupBy("p", "q")
+    return staged(groups_.applyInArrow(_between(percent), "a long, b long").distinct(), "links")
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
         ok = (a == b).sum(axis=1) >= AGREE
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -164,41 +214,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     reps = staged(full.join(classes, key).where("doc_id = rep").select("rep", "bands", "signature").dropDuplicates(["rep"]), "reps")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = staged(rows.join(stars, "bucket"), "members")
-    pairs = staged(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _confirmed(pairs, texts, reps, k, percent)
-    roots = staged(components(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "roots")
-    # Members that were no pivot yet, of buckets that aren't of one component.
-    open_ = members.where("n > 2 and rep <> pivot").select("bucket", "rep")
-    tried, pivots_per_bucket = pairs, 2
-    while True:
-        labelled = open_.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        per = labelled.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).where("least <> most")
-        open_ = staged(labelled.join(per, "bucket"), "open")
-        if open_.isEmpty():
-            break
-        share = F.greatest(F.lit(1), F.expr(f"m div {pivots_per_bucket}"))
-        is_pivot = (F.col("root") != F.col("least")) & (F.pmod(F.xxhash64("rep", F.lit(pivots_per_bucket)), share) == 0)
-        chosen = staged(open_.where(is_pivot).select("bucket", F.col("rep").alias("p"), F.col("root").alias("p_root")), "pivots")
-        found = open_.join(chosen, "bucket").where("root <> p_root").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        found = staged(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not found.isEmpty():
-            more = _confirmed(found, texts, reps, k, percent)
-            tried = tried.unionByName(found)
-            links = links.unionByName(more)
-            edges = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-            roots = staged(components(edges.unionByName(more.select(F.col("b").alias("u"), F.col("a").alias("v")))), "roots")
-        open_ = open_.join(chosen.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        pivots_per_bucket *= 2
+    # rep XOR bucket orders the members of each bucket in another way; its least gives the pivot.
+    stars = rows.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("least"), F.count("*").alias("n")).where("n > 1")
+    members = rows.join(stars, "bucket").select("bucket", "rep", F.col("least").bitwiseXOR(F.col("bucket")).alias("pivot"), "n")
+    members = staged(members, "members")
+    pairs = staged(members.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = bloom_of(wanted.select(F.xxhash64("id").alias("h")), "h")
+    hashed = texts.withColumn("h", F.xxhash64("doc_id"))
+    sets = hashed.mapInArrow(_sets(k, wanted), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    sets = staged(sets.join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    links = _confirmed(pairs, sets, reps, percent)
+    as_edges = lambda x: x.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    roots = staged(components(as_edges(links)), "roots")
+    more = _rest(members, roots, sets, reps, percent)
+    if not more.isEmpty():
+        old = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = staged(components(old.unionByName(as_edges(more))), "roots")
     class_root = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     ids = profile.select("doc_id", *key)
-    return ids.join(class_root, key, "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
-    )
+    rows = ids.join(class_root, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return rows.select("doc_id", "n_shingles", "component_id", kept)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
