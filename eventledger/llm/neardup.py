@@ -8,7 +8,7 @@
    another pivot. Signatures that agree in under 63% (7 standard deviations under 0.8) end a candidate; the
    others are confirmed on full sets.
 4. Buckets whose members are then still in several components are searched for the links between those
-   components: members are dealt into blocks of about 128 by the largest such bucket they are in, and pairs of
+   components: members are dealt into blocks of about 256 by the largest such bucket they are in, and pairs of
    blocks that share a bucket are compared in one task each, on full sets. So no link is lost, no row is made
    per pair, and a bucket of any size is split.
 5. Components by alternating large-star and small-star.
@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 6
 #: Signatures agreeing in fewer of their BANDS * ROWS minima end a candidate.
 AGREE = 183
 #: Members of a block.
-BLOCK = 128
+BLOCK = 256
 _RANDOM = np.random.default_rng(97)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -184,9 +184,10 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, reps: DataFrame
     known = members.where("n > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
     split = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     open_ = staged(known.join(split, "bucket", "left_semi"), "open")
-    home = open_.groupBy("rep", "root").agg(F.max(F.struct("n", "bucket")).alias("h"))
-    part = F.pmod(F.xxhash64("rep"), F.expr(f"(h.n + {BLOCK - 1}) div {BLOCK}"))
-    block = staged(home.select("rep", "root", F.xxhash64("h.bucket", part).alias("block")), "blocks")
+    home = open_.groupBy("rep", "root").agg(F.max(F.struct("n", "bucket")).alias("h")).select("rep", "root", F.col("h.bucket").alias("home"))
+    home = home.join(home.groupBy("home").agg(F.count("*").alias("m")), "home")
+    part = F.pmod(F.xxhash64("rep"), F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
+    block = staged(home.select("rep", "root", F.xxhash64("home", part).alias("block")), "blocks")
     meets = open_.join(block.select("rep", "block"), "rep").select("bucket", "block").distinct()
     pair = meets.join(meets.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
     sides = pair.select(F.col("block").alias("p"), F.col("other").alias("q"), F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
