@@ -53,6 +53,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes, given a random 64-bit value for each byte."""
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * up, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 @dataclass
 class Words:
     """Words of some texts in order: hash, first byte and byte after the last, and by text where its words start."""

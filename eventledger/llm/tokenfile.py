@@ -6,9 +6,10 @@ blocks of some million ids. A block holds a header, its documents' ids, their El
 that any store and lost tasks are no matter. Offsets over all files are the sum of the shards before, the
 block's base within its shard, and a select in the block.
 
-Encoding uses the tokenizers library. Its pre-tokenizer never joins a word with what stands before a space that
-a non-space follows, so the ids of such parts are looked up in a bounded table that each worker fills; only new
-parts are encoded. Texts where this doesn't hold (runs of spaces, special tokens) are encoded as a whole.
+Encoding uses the tokenizers library. Byte-level pre-tokenization always cuts before a space that a non-space
+follows, so a text's ids are those of the parts between such cuts. Each worker keeps a bounded table of parts that it has
+met (a 64-bit hash with the part's length, and the ids) and looks up all parts of some megabytes of text at
+once; only new parts are encoded. Tokenizers of another kind, and texts that hold a special token, are encoded as a whole.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows with equal doc_id follow
 each other, in order of their text's hash; an empty table gives no block. Only doc_id and text are read.
@@ -16,6 +17,8 @@ each other, in order of their text's hash; an empty table gives no block. Only d
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -27,82 +30,171 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytewords import groups, mixed, range_hashes
 from .common import read, staged
 from .eliasfano import EliasFano
 
 END = 0
 MAGIC = b"EFTK"
-#: Ids of a block, entries of a worker's tables, documents looked up together.
-BLOCK_IDS, TABLE, TOGETHER = 4_000_000, 400_000, 256
+#: Ids of a block, slots of a worker's table of parts (half are used), entries of its table of pieces.
+BLOCK_IDS, SLOTS, PIECES = 4_000_000, 1 << 22, 300_000
 
-_SPACES = re.compile(r" (?=\s|\Z)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Parts that surely are separate pre-tokens: Latin letters, common signs, a line end.
+#: Parts of parts that surely are pre-tokens of their own: Latin letters, common signs, a line end.
 _PIECES = re.compile(rf"[{_LETTERS}]+|[.,;:!?%#$&*|()-]+|\n")
 _PLAIN = re.compile(rf"(?:[{_LETTERS}]+|[.,;:!?%#$&*|()-]+|\n(?!\n))+\Z")
+#: Bytes that can begin a white-space character.
+_MAY_BE_SPACE = np.zeros(256, dtype=bool)
+_MAY_BE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_VALUES = np.random.default_rng(50257).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies use for each byte: itself, or one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Parts:
+    """An open-addressed table from hashes to ranges of a pool of ids, filled and read in arrays."""
+
+    def __init__(self, kind: str, slots: int = SLOTS):
+        self.slots, self.used = slots, 0
+        self.keys = np.zeros(slots, dtype=np.uint64)
+        self.start = np.zeros(slots, dtype=np.int32)
+        self.length = np.zeros(slots, dtype=np.int32)
+        self.pool, self.filled = np.zeros(1 << 16, dtype=kind), 0
+
+    def add(self, ids: np.ndarray) -> int:
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=self.pool.dtype)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        return self.filled - len(ids)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, -1 where one isn't there."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        rows, at = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(rows):
+            held = self.keys[at]
+            same = held == keys[rows]
+            out[rows[same]] = at[same]
+            on = ~same & (held != 0)
+            rows, at = rows[on], (at[on] + 1) & (self.slots - 1)
+        return out
+
+    def insert(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Distinct keys that aren't there; those beyond half of the slots are left out."""
+        room = max(0, self.slots // 2 - self.used)
+        keys, start, length = keys[:room], start[:room], length[:room]
+        self.used += len(keys)
+        rows, at = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(rows):
+            free = self.keys[at] == 0
+            where, first = np.unique(at[free], return_index=True)
+            who = rows[free][first]
+            self.keys[where], self.start[where], self.length[where] = keys[who], start[who], length[who]
+            placed = np.zeros(len(keys), dtype=bool)
+            placed[who] = True
+            on = ~placed[rows]
+            rows, at = rows[on], (at[on] + 1) & (self.slots - 1)
 
 
 class Encoder:
-    """Ids of texts as bytes, with tables of what was encoded before."""
+    """Ids of texts, with tables of the parts met before."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split_at_spaces = '"ByteLevel"' in self.tokenizer.to_str() and not self._prefix_space()
-        self.parts: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        self.letters = _byte_letters()
+        self.parts = Parts(self.kind, slots)
         self.pieces: dict[str, bytes] = {}
 
-    def _prefix_space(self) -> bool:
-        return '"add_prefix_space":true' in self.tokenizer.to_str().replace(" ", "")
-
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _plain(self, text: str) -> bool:
-        return self.split_at_spaces and not _SPACES.search(text) and not any(s in text for s in self.special)
-
-    def _fill(self, parts: set[str]) -> list[str]:
-        """Enter parts (words with the space before them, or a text's first word) into the tables."""
-        cut, odd = {}, []
-        for p in parts:
-            if _PLAIN.match(p, 1 if p[:1] == " " else 0):
-                pieces = _PIECES.findall(p)
-                if p[:1] == " ":
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, by the tokenizer's model alone."""
+        found = self.pieces.get(piece)
+        if found is None:
+            shown = piece.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype=self.kind).tobytes()
+            if len(self.pieces) < PIECES:
+                self.pieces[piece] = found
+        return found
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        """Ids of parts: piece by piece where it is plain how they are cut, else by the tokenizer as a whole."""
+        out, odd = [b""] * len(texts), []
+        for i, t in enumerate(texts):
+            space = t[:1] == " "
+            if self.cuts and _PLAIN.match(t, space):
+                pieces = _PIECES.findall(t, space)
+                if space:
                     pieces[0] = " " + pieces[0]
-                cut[p] = pieces
+                out[i] = b"".join([self._piece(x) for x in pieces])
             else:
-                odd.append(p)
-        new = list({x for pieces in cut.values() for x in pieces if x not in self.pieces})
-        self.pieces.update(zip(new, self.whole(new)))
-        self.parts.update(zip(odd, self.whole(odd)))
-        for p, pieces in cut.items():
-            self.parts[p] = b"".join([self.pieces[x] for x in pieces])
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if t and self._plain(t)]
-        split = {i: [f" {x}" if k else x for k, x in enumerate(texts[i].split(" "))] for i in plain}
-        known = self.parts
-        missing = {p for parts in split.values() for p in parts if p not in known}
-        new = self._fill(missing)
-        out = [b""] * len(texts)
-        for i, parts in split.items():
-            out[i] = b"".join(map(known.__getitem__, parts))
-        rest = [i for i, t in enumerate(texts) if t and i not in split]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
+                odd.append(i)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
-        if len(known) > TABLE:  # keep what came first, mostly the commonest
-            for p in missing:
-                del known[p]
-        if len(self.pieces) > TABLE:
-            for x in new:
-                del self.pieces[x]
         return out
 
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where parts begin: at texts, and at spaces that a non-space of the same text follows."""
+        first = offsets[:-1][np.diff(offsets) > 0]
+        if not self.cuts or len(data) < 2:
+            return first
+        space = np.zeros(len(data), dtype=bool)
+        space[:-1] = (data[:-1] == 32) & ~_MAY_BE_SPACE[data[1:]]
+        space[offsets[1:][offsets[1:] > 0] - 1] = False
+        raw = data.tobytes() if any(len(s) for s in self.special) else b""
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                space[offsets[doc] : offsets[doc + 1]] = False
+                at = raw.find(s, max(at + 1, int(offsets[doc + 1])))
+        space[first] = True
+        return np.flatnonzero(space)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each with the end id; number of ids of each text)."""
+        starts = self._starts(data, offsets)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        keys = mixed(range_hashes(data, starts, ends, _VALUES) + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        at = self.parts.find(keys)
+        missing = np.flatnonzero(at < 0)
+        new, one, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+        raw = data.tobytes() if len(new) else b""
+        ids = self._new([raw[starts[i] : ends[i]].decode() for i in missing[one]])
+        sizes = np.array([len(x) // self.width for x in ids], dtype=np.int64)
+        kept = self.parts.filled
+        place = self.parts.add(np.frombuffer(b"".join(ids), dtype=self.kind)) + np.cumsum(sizes) - sizes
+        final = self.parts.add(np.array([end], dtype=self.kind))
+        start, length = self.parts.start[at].astype(np.int64), self.parts.length[at].astype(np.int64)
+        start[missing], length[missing] = place[back.ravel()], sizes[back.ravel()]
+        last = np.searchsorted(starts, offsets[1:], side="left")
+        start, length = np.insert(start, last, final), np.insert(length, last, 1)
+        total = np.cumsum(length)
+        out = self.parts.pool[np.repeat(start - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+        counts = np.diff(np.concatenate([[0], total[last + np.arange(len(last))]]))
+        used = self.parts.used
+        self.parts.insert(new, place, sizes)
+        if self.parts.used - used < len(new):  # keep no ids of parts that found no room
+            n = self.parts.used - used
+            self.parts.filled = kept + int(sizes[:n].sum())
+        return out, counts
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -113,12 +205,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_block(doc_ids: list, ids: list[bytes], width: int) -> bytes:
-    """doc_ids: None or a whole number each; ids: each document's ids, end included."""
-    ends = EliasFano.of(np.cumsum([len(x) // width for x in ids])).to_bytes()
+def write_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """doc_ids: None or a whole number each; counts: ids of each document, end included."""
+    ends = EliasFano.of(np.cumsum(counts)).to_bytes()
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    return b"".join([MAGIC, struct.pack("<BQQ", width, len(ids), len(ends)), np.packbits(known).tobytes(), numbers.tobytes(), ends, *ids])
+    return b"".join([MAGIC, struct.pack("<BQQ", ids.dtype.itemsize, len(doc_ids), len(ends)), np.packbits(known).tobytes(), numbers.tobytes(), ends, ids.tobytes()])
 
 
 def read_block(block: bytes) -> tuple[list, EliasFano, np.ndarray]:
@@ -142,26 +234,25 @@ def _written(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         coder = encoder(path)
-        last = np.array([end], dtype=coder.kind).tobytes()
-        docs, held, size = [], [], 0
+        docs, counts, held, size = [], [], [], 0
 
         def flushed() -> pa.RecordBatch:
-            n = size // coder.width
-            arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([write_block(docs, held, coder.width)], pa.binary())]
+            data = write_block(docs, np.concatenate(counts), np.concatenate(held))
+            arrays = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([base], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, names=["shard", "block", "base", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode([t or "" for t in part.column("text").to_pylist()])):
-                    docs.append(doc)
-                    held.append(ids + last)
-                    size += len(ids) + coder.width
-                    if size >= BLOCK_IDS * coder.width:
-                        yield flushed()
-                        base += size // coder.width
-                        block += 1
-                        docs, held, size = [], [], 0
+            for first, last, data, offsets in groups(batch.column("text")):
+                ids, n = coder.encode(data, offsets, end)
+                docs += batch.column("doc_id").slice(first, last - first).to_pylist()
+                counts.append(n)
+                held.append(ids)
+                size += len(ids)
+                if size >= BLOCK_IDS:
+                    yield flushed()
+                    base += size
+                    block += 1
+                    docs, counts, held, size = [], [], [], 0
         if docs:
             yield flushed()
 

@@ -34,13 +34,20 @@ def plain(text):
     return t.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_equals_whole_texts():
-    coder = tokenfile.Encoder(tokenfile.default_tokenizer())
+@pytest.mark.parametrize("slots", [tokenfile.SLOTS, 64])
+def test_encoder_equals_whole_texts(slots):
+    coder = tokenfile.Encoder(tokenfile.default_tokenizer(), slots)
     rng = random.Random(4)
-    alphabet = ["a", "B", "é", " ", " ", "  ", "\n", ".", ",", "'", "'s", "1", "½", "日", "_", "\t", " ", "%"]
+    alphabet = ["a", "B", "é", " ", " ", "  ", "\n", ".", ",", "'", "'s", "1", "½", "日", "_", "\t", "\u00a0", "\u2003", "%", "\x1d"]
     texts = EDGES + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1500)]
-    for text, ids in zip(texts, coder.encode(texts)):
-        assert np.frombuffer(ids, coder.kind).tolist() == plain(text), repr(text)
+    for some in (texts, texts[::-1], texts[:1], [""]):
+        raw = [t.encode() for t in some]
+        offsets = np.cumsum([0, *map(len, raw)])
+        ids, counts = coder.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets, 0)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        for text, a, b in zip(some, at[:-1], at[1:]):
+            assert ids[a:b].tolist() == plain(text) + [0], repr(text)
+        assert at[-1] == len(ids)
 
 
 def expected(texts):
@@ -58,7 +65,7 @@ def test_blocks_round_trip(spark, monkeypatch):
     rows = tokenfile.documents_of(tokenfile.write(docs, tokenfile.default_tokenizer())).collect()
     assert sorted(map(tuple, rows)) == expected(texts)
     assert tokenfile.documents_of(tokenfile.write(docs.limit(0), tokenfile.default_tokenizer())).count() == 0
-    block = tokenfile.write_block([3, None, 3], [b"\1\0", b"\2\0\0\0", b"\3\0"], 2)
+    block = tokenfile.write_block([3, None, 3], np.array([1, 2, 1]), np.array([1, 2, 0, 3], dtype="<u2"))
     docs, ends, ids = tokenfile.read_block(block)
     assert (docs, ends.all().tolist(), ids.tolist()) == ([3, None, 3], [1, 3, 4], [1, 2, 0, 3])
 
