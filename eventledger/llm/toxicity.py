@@ -5,8 +5,8 @@ forms), lexicon words near second-person words, capitals, punctuation, and obfus
 between letters, lexicon words once such signs are read as letters).
 
 Learning uses a bounded sample of the labelled rows, those with the least id hashes; SAMPLE is the bound.
-Half of it (by id hash) gives the learned lexicon, the other half the trees, so that the trees see lexicon
-features as unseen texts have them; isotonic calibration fits scores of trees grown without the row.
+It falls into FOLDS parts by id hash. The trees see each row with lexicon features learned without its part, as unseen texts have
+them; isotonic calibration fits scores of trees grown without the row's part. Scoring uses the lexicon of the whole sample.
 
 Defined results: null and empty texts have zero features and a score like any other; without labels, or
 with one class only, the score is the labelled share (0.5 without labels); repeated rows have repeated
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from .common import drop_stage, read, staged
 from .gbt import Boosted, isotonic
 
 #: Labelled rows used at most, and entries of the learned lexicon at most.
-SAMPLE, ENTRIES = 16_000, 4096
+SAMPLE, ENTRIES, FOLDS = 16_000, 4096, 4
 #: Bytes of word beginnings that the learned lexicon may hold; 0 stands for whole words.
 BEGINNINGS = (0, 3, 4, 5, 6, 8)
 #: Words that insult in themselves.
@@ -139,9 +140,9 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: Lookup) -> np.ndarr
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, label, occurrences, documents) of some texts."""
+    """(token, class, occurrences, documents) of some texts; the class is 2 * fold + label."""
     for batch in batches:
-        label = batch.column("toxic").to_numpy().astype(np.int64)
+        kind = (2 * batch.column("fold").to_numpy() + batch.column("toxic").to_numpy()).astype(np.int64)
         for first, last, data, offsets in groups(batch.column("text")):
             words = words_of(data, offsets, ALNUM)
             owner = words.owner()
@@ -149,34 +150,44 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 token = _tokens(words, k)
                 real = token != 0
                 both = np.unique(np.stack([token[real].view(np.int64), owner[real]]), axis=1, return_counts=True)
-                keys, at = np.unique(np.stack([both[0][0], label[first:last][both[0][1]]]), axis=1, return_inverse=True)
+                keys, at = np.unique(np.stack([both[0][0], kind[first:last][both[0][1]]]), axis=1, return_inverse=True)
                 at = at.ravel()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[0]), pa.array(keys[1]),
                         pa.array(np.bincount(at, both[1], keys.shape[1]).astype(np.int64)), pa.array(np.bincount(at, minlength=keys.shape[1]).astype(np.int64)),
                     ],
-                    names=["token", "label", "occurrences", "documents"],
+                    names=["token", "kind", "occurrences", "documents"],
                 )
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> Lookup:
-    """Tokens that toxic texts of the sample hold at three times the rate of others, by weighted log ratio."""
-    counts = sample.mapInArrow(_counts, "token long, label long, occurrences long, documents long")
-    one = lambda c, v: F.sum(F.when(F.col("label") == v, F.col(c)).otherwise(0))
-    per = counts.groupBy("token").agg(one("occurrences", 1).alias("o1"), one("occurrences", 0).alias("o0"), one("documents", 1).alias("d1"), one("documents", 0).alias("d0"))
-    sizes = sample.agg(F.sum("toxic").alias("n1"), F.count("*").alias("n")).first()
-    n1, n0 = sizes.n1 or 0, sizes.n - (sizes.n1 or 0)
-    if not n1 or not n0:
-        return Lookup(np.zeros(0, dtype=np.uint64), np.zeros(0))
-    ratio = F.ln(((F.col("o1") + 0.5) / n1) / ((F.col("o0") + 0.5) / n0))
-    top = (
-        per.where("d1 >= 3").withColumn("ratio", ratio).where(F.col("ratio") > float(np.log(3)))
-        .orderBy((F.col("ratio") * F.sqrt("d1")).desc(), "token").limit(entries).select("token", "ratio").toPandas()
-    )
-    keys, weights = top["token"].to_numpy(np.int64).view(np.uint64), top["ratio"].to_numpy(float)
-    order = np.argsort(keys)
-    return Lookup(keys[order], weights[order])
+def learn_lexica(sample: DataFrame, entries: int = ENTRIES) -> list[Lookup]:
+    """Tokens that toxic texts hold at three times the rate of others, by weighted log ratio.
+
+    One lexicon for each fold, learned from the others, and last one from the whole sample.
+    """
+    counts = sample.mapInArrow(_counts, "token long, kind long, occurrences long, documents long")
+    kinds = range(2 * FOLDS)
+    one = lambda c, v: F.sum(F.when(F.col("kind") == v, F.col(c)).otherwise(0)).alias(f"{c[0]}{v}")
+    per = counts.groupBy("token").agg(*[one(c, v) for v in kinds for c in ("occurrences", "documents")])
+    per = staged(per.where(" + ".join(f"d{v}" for v in kinds if v % 2) + " >= 3"), "toxic-tokens")
+    have = {r.kind: r.n for r in sample.groupBy((2 * F.col("fold") + F.col("toxic")).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    out = []
+    for left_out in (*range(FOLDS), None):
+        good, bad = ([v for v in kinds if v // 2 != left_out and v % 2 == y] for y in (0, 1))
+        n0, n1 = (sum(have.get(v, 0) for v in vs) for vs in (good, bad))
+        if not n0 or not n1:
+            out.append(Lookup(np.zeros(0, dtype=np.uint64), np.zeros(0)))
+            continue
+        total = lambda c, vs: sum((F.col(f"{c}{v}") for v in vs), F.lit(0))
+        ratio = F.ln(((total("o", bad) + 0.5) / n1) / ((total("o", good) + 0.5) / n0))
+        top = per.select("token", total("d", bad).alias("d"), ratio.alias("ratio")).where((F.col("d") >= 3) & (F.col("ratio") > float(np.log(3))))
+        top = top.orderBy((F.col("ratio") * F.sqrt("d")).desc(), "token").limit(entries).toPandas()
+        keys, weights = top["token"].to_numpy(np.int64).view(np.uint64), top["ratio"].to_numpy(float)
+        order = np.argsort(keys)
+        out.append(Lookup(keys[order], weights[order]))
+    drop_stage(per)
+    return out
 
 
 @dataclass
@@ -205,9 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample).withColumnRenamed("doc_id", "_labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.expr("doc_id = _labelled")).dropDuplicates(["doc_id"])
-    rows = staged(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(4)).cast("int").alias("fold")).coalesce(8), "toxic-sample")
-    learned = learn_lexicon(rows.where("fold < 2"))
-    table = rows.where("fold >= 2").mapInArrow(_features_only(learned), "fold int, toxic int, x array<double>").toPandas()
+    rows = staged(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold")).coalesce(8), "toxic-sample")
+    *partial, learned = learn_lexica(rows)
+    parts = [rows.where(F.col("fold") == f).mapInArrow(_features_only(lexicon), "fold int, toxic int, x array<double>") for f, lexicon in enumerate(partial)]
+    table = reduce(DataFrame.unionByName, parts).toPandas()
     drop_stage(rows)
     y = table["toxic"].to_numpy(int)
     x = np.stack(table["x"].to_list()) if len(table) else np.zeros((0, len(FEATURES)))
@@ -215,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x, y, fold = x[order], y[order], table["fold"].to_numpy()[order]
     trees = Boosted().fit(x, y)
     outside = np.full(len(y), trees.start)
-    for part in (2, 3):
+    for part in range(FOLDS):
         if (fold == part).any():
             outside[fold == part] = Boosted().fit(x[fold != part], y[fold != part]).margin(x[fold == part])
     return Model(learned, trees, isotonic(outside, y))
