@@ -30,6 +30,7 @@ def pipeline_poll_batches(messages: DataFrame, pipelines: DataFrame, offsets: Da
     ready = p.join(o, "pipeline_id", "left").withColumn("after", F.coalesce("last_change_id", F.lit(0)))
     rows = messages.select("id", "outbox_name", "payload").join(F.broadcast(ready), "outbox_name").where("id > after")
     rank = F.row_number().over(Window.partitionBy("pipeline_id").orderBy("id"))
+    # No batch is larger than a million; a constant bound lets Spark limit each pipeline before the shuffle.
     return rows.withColumn("rank", rank).where("rank <= 1000000").where("rank <= batch").select("pipeline_id", "id", F.col("rank").cast("long").alias("position"))
 
 
