@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, groups, words_of
-from .common import read
+from .common import read, trimmed
 
 WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
@@ -256,6 +256,7 @@ def _searched(block: Block, first: bool, keep: list[str]):
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         return pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in STATE])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytewords import ALNUM, Words, groups, words_of
-from .common import read
+from .common import read, trimmed
 
 #: Fixed phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -240,6 +240,7 @@ class Scanner:
 _FOUND = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+@trimmed
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner()
     for batch in batches:

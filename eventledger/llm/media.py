@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import groups
-from .common import bloom_has, bloom_of, read, staged
+from .common import bloom_has, bloom_of, read, staged, trimmed
 
 UNIT = 64
 RATE = 8000
@@ -115,6 +115,7 @@ def _payloads(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[tup
             yield first + i, int(offsets[i + 1] - offsets[i]), hashlib.sha256(view[at[i] : at[i + 1]]).digest(), chunks
 
 
+@trimmed
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -133,6 +134,7 @@ _PARTS = pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))
 def _own(copies: np.ndarray, shared: np.ndarray):
     """Payloads that occur once, with the bytes of those of their chunks that do."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
@@ -159,6 +161,7 @@ def _rows(rows: list) -> pa.RecordBatch:
 def _loose(copies: np.ndarray, shared: np.ndarray):
     """Chunks that _own() leaves out."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -184,6 +187,7 @@ def _features(samples: np.ndarray) -> str:
 _DECODED = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+@trimmed
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rebuild the files of stored rows, verify chunks and payload, read the samples, compute features."""
     for batch in batches:

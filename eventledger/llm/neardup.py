@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, Words, groups, mixed, words_of
-from .common import bloom_has, bloom_of, read, staged
+from .common import bloom_has, bloom_of, read, staged, trimmed
 from .components import components
 
 BANDS, ROWS = 48, 6
@@ -80,6 +80,7 @@ _PROFILE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>,
 
 
 def _profiles(k: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in groups(batch.column("text")):
@@ -117,6 +118,7 @@ def _profiles(k: int):
 def _sets(k: int, wanted: np.ndarray):
     """Shingle sets of the rows whose hash h is in the filter."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(bloom_has(wanted, batch.column("h").to_numpy())))
@@ -197,6 +199,7 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, reps: DataFrame
     return staged(groups_.applyInArrow(_between(percent), "a long, b long").distinct(), "links")
 
 
+@trimmed
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import groups, mixed, range_hashes
-from .common import read, staged
+from .common import read, staged, trimmed
 from .eliasfano import EliasFano
 
 END = 0
 MAGIC = b"EFTK"
 #: Ids of a block, slots of a worker's table of parts (half are used), entries of its table of pieces.
-BLOCK_IDS, SLOTS, PIECES = 4_000_000, 1 << 22, 300_000
+BLOCK_IDS, SLOTS, PIECES = 4_000_000, 1 << 21, 150_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Parts of parts that surely are pre-tokens of their own: Latin letters, common signs, a line end.
@@ -231,6 +231,7 @@ _BLOCKS = "shard int, block int, base long, n_ids long, data binary"
 
 
 def _written(path: str, end: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, base = TaskContext.get().partitionId(), 0, 0
         coder = encoder(path)
@@ -259,6 +260,7 @@ def _written(path: str, end: int):
     return run
 
 
+@trimmed
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for before, data in zip(batch.column("before").to_pylist(), batch.column("data")):
@@ -282,12 +284,12 @@ def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
 def documents_of(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the blocks.
 
-    The table of shards has one row for each partition of the writer.
+    The table of shards is broadcast: it has one row for each partition of the writer, spark.sql.shuffle.partitions at most.
     """
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     shards = shards.select("shard", before.alias("earlier"))
-    placed = blocks.join(shards, "shard").select((F.col("earlier") + F.col("base")).alias("before"), "data")
+    placed = blocks.join(F.broadcast(shards), "shard").select((F.col("earlier") + F.col("base")).alias("before"), "data")
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

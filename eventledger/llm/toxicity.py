@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, Words, groups, mixed, words_of
-from .common import drop_stage, read, staged
+from .common import drop_stage, read, staged, trimmed
 from .gbt import Boosted, isotonic
 
 #: Labelled rows used at most, and entries of the learned lexicon at most.
@@ -139,6 +139,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: Lookup) -> np.ndarr
     return np.stack(columns, axis=1)
 
 
+@trimmed
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, class, occurrences, documents) of some texts; the class is 2 * fold + label."""
     for batch in batches:
@@ -201,6 +202,7 @@ class Model:
 
 
 def _features_only(learned: Lookup):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in groups(batch.column("text")):
@@ -234,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _scores(model: Model, keep: list[str]):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.score(features(data, offsets, model.learned)) for _, _, data, offsets in groups(batch.column("text"))]
