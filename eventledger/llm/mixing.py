@@ -151,12 +151,13 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     and joins by shuffle beyond it. The texts themselves are never sorted.
     """
     _, edge = mix(docs, **params)
-    seed = params.get("seed", SEED)
-    d, e = docs.alias("d"), edge.alias("e")
-    size, key = word_count(F.col("d.text")), -F.ln(uniform(F.col("d.doc_id"), seed)) / quality_weight(F.col("d.text"))
-    both = d.join(e, F.expr("d.source <=> e.source")).withColumn("_copies", copies(key, F.col("d.doc_id"), size))
-    out = both.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select("d.*")
+    seed, names = params.get("seed", SEED), docs.columns
+    # Size and key are columns of their own and nothing filters on them, so that each is computed once a row.
+    key = (-F.ln(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_mix_key")
+    d, e = docs.select(*names, word_count(F.col("text")).alias("_mix_size"), key).alias("d"), edge.alias("e")
+    both = d.join(e, F.expr("d.source <=> e.source"))
+    n = copies(F.col("d._mix_key"), F.col("d.doc_id"), F.col("d._mix_size")).cast("int")
+    return both.select("d.*", F.explode(F.array_repeat(F.lit(1), n)).alias("_mix_copy")).select(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
