@@ -4,9 +4,13 @@ Rules (host and path) decide first; a rule fits its host and all subdomains if t
 the longest wins. URLs that rules decide are the labelled examples. From them a tree of path templates is learned per
 host: numbers, hexadecimal and dated segments become wildcards by form, segments of branches with more than FANOUT
 children become wildcards too, except that children whose share of blocked examples differs clearly stay apart:
-siblings are merged within their class of smoothed purity (blocked, allowed, mixed, unlabelled). A template's purity is
-its blocked share smoothed towards its parent's; the host's is smoothed towards PRIOR. URLs without a rule are judged by
-the deepest template of their path.
+siblings are merged within their class of smoothed purity (blocked, allowed, mixed, unlabelled). URLs without a rule are
+judged by the deepest template of their path.
+
+Rules fix the first segments of a path, so what they label is no fair sample of a host. A template is therefore rejected
+only on blocked examples of its own: with some, its purity is its blocked share smoothed towards its parent's; without,
+towards PRIOR, so an unlabelled template has PRIOR itself. A page that ends where other paths go on is judged by the
+examples that end there too. Unlabelled siblings never join labelled ones, since no label shows that they are alike.
 
 Templates are DEPTH segments deep; the rest of a longer path is one last wildcard. The tree is made from distinct
 paths of typed segments with their counts, so that a host with a third of all rows weighs no more than its paths.
@@ -58,6 +62,11 @@ def typed(path: Column) -> Column:
     return F.when(F.size(segments) > DEPTH, F.concat(some, F.array(F.lit("**")))).otherwise(some)
 
 
+def smoothed(n: str, bad: str, parent: Column) -> Column:
+    """Blocked share of n examples, smoothed towards the parent's only if some are blocked."""
+    return (F.col(bad) + WEIGHT * F.when(F.col(bad) > 0, parent).otherwise(F.lit(PRIOR))) / (F.col(n) + WEIGHT)
+
+
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
     host, path = host_and_path(F.col("url"))
@@ -68,25 +77,25 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
         F.count(F.when(F.col("ruled").isNotNull(), 1)).alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")
     )
     counted = staged(counted.withColumn("template", F.lit("")), "paths")
-    smooth = lambda parent: (F.col("sum_bad") + WEIGHT * parent) / (F.col("sum_n") + WEIGHT)
     at_host = counted.groupBy("host").agg(F.sum("n").alias("sum_n"), F.sum("bad").alias("sum_bad"))
-    nodes = counted.join(at_host.select("host", smooth(F.lit(PRIOR)).alias("purity")), "host")
+    nodes = counted.join(at_host.select("host", smoothed("sum_n", "sum_bad", F.lit(PRIOR)).alias("purity")), "host")
     for d in range(DEPTH + 1):
         here = F.coalesce(F.get("segments", F.lit(d)), F.lit(""))
         nodes = nodes.withColumn("seg", here)
         children = nodes.groupBy("host", "template", "seg").agg(F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.first("purity").alias("parent"))
-        share = (F.col("c_bad") + WEIGHT * F.col("parent")) / (F.col("c_n") + WEIGHT)
+        share = smoothed("c_n", "c_bad", F.col("parent"))
         kind = F.when(F.col("c_n") == 0, "*").when(share >= 0.75, "*blocked").when(share <= 0.25, "*allowed").otherwise("*mixed")
         width = children.groupBy("host", "template").agg(F.count("*").alias("width"))
         named = children.join(width, ["host", "template"]).withColumn("name", F.when((F.col("width") > FANOUT) & (F.col("seg") != ""), kind).otherwise(F.col("seg")))
         step = named.groupBy("host", "template", "name").agg(F.sum("c_n").alias("sum_n"), F.sum("c_bad").alias("sum_bad"), F.first("parent").alias("parent"))
-        step = step.select("host", "template", "name", smooth(F.col("parent")).alias("next"))
-        names = named.select("host", "template", "seg", "name").join(step, ["host", "template", "name"])
+        step = step.select("host", "template", "name", smoothed("sum_n", "sum_bad", F.col("parent")).alias("next"))
+        names = named.select("host", "template", "seg", "name", "width").join(step, ["host", "template", "name"])
         moved = nodes.join(names, ["host", "template", "seg"])
+        goes_on, ends_inside = F.col("seg") != "", (F.size("segments") == d) & (F.col("width") > 1)
         nodes = moved.select(
             "host", "segments", "n", "bad",
             F.when(F.col("seg") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"),
-            F.when(F.col("seg") == "", F.col("purity")).otherwise(F.col("next")).alias("purity"),
+            F.when(goes_on | ends_inside, F.col("next")).otherwise(F.col("purity")).alias("purity"),
         )
         nodes = staged(nodes, "templates")
     tree = nodes.select("host", "segments", "template", "purity")

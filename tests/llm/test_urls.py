@@ -38,6 +38,34 @@ def test_rules_and_templates(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_unlabelled_siblings_of_ruled_pages_are_not_rejected(spark):
+    given, unruled = [], {}
+    for n in (1, 2, 500):
+        host = f"http://n{n}.example.com"
+        given += [f"{host}/de/{i}" for i in range(n)]
+        for url in (f"{host}/en/1", f"{host}/fr/a/b", f"{host}/", host, f"{host}/de"):
+            unruled[len(given)] = url
+            given.append(url)
+    wide = [f"http://wide.example.com/{a}{b}/x" for a in "abcdefgh" for b in "klmnop"]
+    unruled |= {len(given) + 100 + i: u for i, u in enumerate(wide)}
+    rows = [(i, u) for i, u in enumerate(given)] + [(len(given) + 100 + i, u) for i, u in enumerate(wide)]
+    rows += [(9000 + i, f"http://wide.example.com/de/{i}") for i in range(50)]
+    out = {r.page_id: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(out) == len(rows)
+    for i, url in unruled.items():
+        assert (out[i].rule, out[i].verdict, out[i].purity) == (None, "allow", urls.PRIOR), url
+    assert all(out[9000 + i].verdict == "block" for i in range(50))
+
+
+def test_a_template_is_judged_by_its_own_examples(spark):
+    rules = (("block", "h/a/1"), ("allow", "h/b/1"), ("block", "h/c/1"))
+    given = [f"http://h/a/1{i}" for i in range(9)] + [f"http://h/b/1{i}" for i in range(9)] + [f"http://h/c/1{i}" for i in range(40)]
+    asked = {"http://h/a/2": "block", "http://h/b/2": "allow", "http://h/c/2": "block", "http://h/d/2": "allow", "http://h/c": "allow"}
+    given += asked
+    out = urls.judged(spark.createDataFrame(list(enumerate(given)), "page_id long, url string"), rules).collect()
+    assert {given[r.page_id]: r.verdict for r in out if r.rule is None} == asked
+
+
 def test_query_on_whole_table(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     out = urls.op8_urls(spark, sf).collect()
