@@ -5,7 +5,8 @@ case, punctuation and line breaks don't count. Each template is compiled once to
 word hashes. It is run from every place whose two words can begin it and accepts a text whose mandatory wording
 stands there exactly. Beside accepted templates, labels come from fixed short phrases.
 
-Score: 1 if any label was found; else the largest share of a template's mandatory words that a run reached.
+Score: 1 if any label was found; else the largest share of a template's mandatory words that a run matched. For the score
+alone a run goes on over a wrong word, not over two on end, so a long text altered early still scores what it keeps.
 
 Defined results: null and empty texts have no words, null places, empty labels and score 0; rows are independent, so
 repeated rows have repeated results; an empty table gives an empty table. Only doc_id and text are read.
@@ -27,19 +28,68 @@ from .common import read, trimmed
 #: Fixed phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Templates and their labels.
+#: Passages that several templates share.
+_MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+    documentation files [the software] to deal in the software without restriction including without limitation the rights to use
+    copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software
+    is furnished to do so"""
+_MIT_CONDITION = """subject to the following conditions the above copyright notice and this permission notice [including the next paragraph]
+    shall be included in all copies or substantial portions of the software"""
+_MIT_DISCLAIMER = """the software is provided as is without warranty of any kind express or implied including but not limited to the
+    warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {1-8} be liable for any
+    claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with
+    the software or the use or other dealings in the software"""
+_BSD_GRANT = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+    following conditions are met [1] [a] redistributions of source code must retain the above copyright notice this list of conditions
+    and the following disclaimer [2] [b] redistributions in binary form must reproduce the above copyright notice this list of
+    conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_ADVERTISING = """[3] [c] all advertising materials mentioning features or use of this software must display the following
+    acknowledgement this product includes software developed by {1-16}"""
+_BSD_NAMES = """neither the name {1-8} nor the names of {1-3} contributors may be used to endorse or promote products derived from this
+    software without specific prior written permission"""
+_BSD_DISCLAIMER = """this software is provided by {1-8} as is and any express or implied warranties including but not limited to the
+    implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {1-8} be liable for any
+    direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods
+    or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract
+    strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+    the possibility of such damage"""
+_ISC_GRANT = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_DISCLAIMER = """the software is provided as is and {1-4} disclaims all warranties with regard to this software including all implied
+    warranties of merchantability and fitness in no event shall {1-4} be liable for any special direct indirect or consequential damages
+    or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+    action arising out of or in connection with the use or performance of this software"""
+_APACHE_GRANT = """licensed under the apache license version 2 0 [the license] you may not use {0-3} file except in compliance
+    with the license"""
+_GPL_GRANT = "{0-2} is free software you can redistribute it and or modify it under the terms of the gnu"
+_GPL_VERSION = "general public license as published by the free software foundation either version {1-2} of the license"
+
+#: Templates and their labels; whole licences to the end of their mandatory wording, variants apart. apache-2-notice is
+#: the notice's first sentence, apache-2-notice-full the whole.
 TEMPLATES = {
-    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
-        documentation files [the software] to deal in the software without restriction including without limitation the rights to use
-        copy modify merge publish distribute sublicense and or sell copies of the software""",
-    "apache-2-notice": """licensed under the apache license version 2 0 [the license] you may not use {0-3} file except in compliance
-        with the license""",
-    "bsd-text": """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met""",
-    "isc-text": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies""",
-    "gpl-notice": """{0-2} is free software you can redistribute it and or modify it under the terms of the gnu [lesser] general public
-        license as published by the free software foundation either version {1-2} of the license""",
+    "mit-text": f"{_MIT_GRANT} {_MIT_CONDITION} {_MIT_DISCLAIMER}",
+    "mit-0-text": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
+    "json-text": f"{_MIT_GRANT} {_MIT_CONDITION} the software shall be used for good not evil {_MIT_DISCLAIMER}",
+    "apache-2-notice": _APACHE_GRANT,
+    "apache-2-notice-full": f"""{_APACHE_GRANT} you may obtain a copy of the license at [http] [https] [www] apache org licenses license 2 0
+        unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is
+        basis without warranties or conditions of any kind either express or implied see the license for the specific language
+        governing permissions and limitations under the license""",
+    "bsd-2-text": f"{_BSD_GRANT} {_BSD_DISCLAIMER}",
+    "bsd-3-text": f"{_BSD_GRANT} [3] [c] {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "bsd-4-text": f"{_BSD_GRANT} {_BSD_ADVERTISING} [4] [d] {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "isc-text": f"""{_ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies
+        {_ISC_DISCLAIMER}""",
+    "0bsd-text": f"{_ISC_GRANT} {_ISC_DISCLAIMER}",
+    "gpl-notice": f"{_GPL_GRANT} {_GPL_VERSION}",
+    "gpl-or-later-notice": f"{_GPL_GRANT} {_GPL_VERSION} or [at your option] any later version",
+    "lgpl-notice": f"{_GPL_GRANT} lesser {_GPL_VERSION}",
+    "lgpl-or-later-notice": f"{_GPL_GRANT} lesser {_GPL_VERSION} or [at your option] any later version",
+    "agpl-notice": f"{_GPL_GRANT} affero {_GPL_VERSION}",
+    "agpl-or-later-notice": f"{_GPL_GRANT} affero {_GPL_VERSION} or [at your option] any later version",
+    "gpl-line": "under [the] [terms of the] gnu general public license [gpl] version {1-2}",
+    "lgpl-line": "under [the] [terms of the] gnu lesser general public license [lgpl] version {1-2}",
+    "lgpl-library-line": "under [the] [terms of the] gnu library general public license [lgpl] version {1-2}",
+    "agpl-line": "under [the] [terms of the] gnu affero general public license [agpl] version {1-2}",
     "cc-notice": """work is licensed under [a] [the] creative commons attribution [noncommercial] [sharealike] [noderivatives] {1-2}
         [international] license""",
     "mit-line": "[released] [licensed] [distributed] under the mit license",
@@ -90,6 +140,10 @@ class Automaton:
             out.update(self.wild[s])
         return self.closed(out) if out else frozenset()
 
+    def over(self, states: frozenset[int]) -> frozenset[int]:
+        """The states after a word that should have led on and did not."""
+        return self.closed({t for s in states for ways in self.words[s].values() for t in ways})
+
     @property
     def end(self) -> int:
         return len(self.words) - 1
@@ -212,14 +266,20 @@ class Scanner:
             for p in at.tolist():
                 doc = owner[p]
                 states = self.closed_from(a, start, lead)
-                best = 0
+                best, wrong, slipped = 0, 0, False
                 for w in h[p : words.bounds[doc + 1]].tolist():
-                    states = a.step(states, w)
+                    then = a.step(states, w)
+                    if not then and not slipped:
+                        then, wrong, slipped = a.over(states), wrong + 1, True
+                    else:
+                        slipped = False
+                    states = then
                     if not states:
                         break
-                    best = max(best, max(a.done[s] for s in states))
+                    best = max(best, max(a.done[s] for s in states) - wrong)
                     if a.end in states:
-                        labels[doc].add(a.label)
+                        if not wrong:
+                            labels[doc].add(a.label)
                         break
                 if a.mandatory:
                     score[doc] = max(score[doc], best / a.mandatory)

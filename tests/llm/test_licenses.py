@@ -53,6 +53,55 @@ def test_templates_and_phrases(spark):
     assert licenses.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain(label):
+    """The shortest text of a template."""
+    text = re.sub(r"\[[^\]]*\]", "", licenses.TEMPLATES[label])
+    return re.sub(r"\{(\d)-\d+\}", lambda m: "x " * int(m[1]), text)
+
+
+def test_license_texts_are_matched_to_their_end(spark):
+    whole = ["mit-text", "mit-0-text", "json-text", "bsd-2-text", "bsd-3-text", "bsd-4-text", "isc-text", "0bsd-text", "apache-2-notice-full"]
+    also = {"apache-2-notice-full": {"apache-2", "apache-2-line", "apache-2-notice"}}
+    cases = {}
+    for label in whole:
+        text = plain(label)
+        words = text.split()
+        cases[text] = {label} | also.get(label, set())
+        for altered in (words[:-1], words[:-12] + ["other"] + words[-11:], words[: len(words) // 2], [*words[:-30], "but", "not", "for", "sale", *words[-30:]]):
+            cases[" ".join(altered)] = also.get(label, set())
+    for kind, label in (("", "gpl"), ("Lesser ", "lgpl"), ("Affero ", "agpl")):
+        cases[f"This work is licensed under the GNU {kind}General Public License, version 3."] = {f"{label}-line"}
+        cases[f"Under the terms of the GNU {kind}General Public License version 2.1"] = {f"{label}-line"}
+        notice = f"x is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License"
+        cases[notice + ", or (at your option) any later version."] = {f"{label}-notice", f"{label}-or-later-notice"}
+    cases["under the GNU General Public License of today, version 3"] = set()
+    rows = list(enumerate(cases))
+    found = {r.doc_id: r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert found[i].labels == ",".join(sorted(cases[text])), text
+        assert (found[i].score == 1) == bool(cases[text]), text
+
+
+STATEMENTS = {
+    r"This work is licensed under the GNU General Public License, version \d": "gpl-line",
+    r"Licensed under CC BY-NC \d": "cc-by-nc-line",
+    r"Released under the MIT License": "mit-line",
+    r"Licensed under the Apache License, Version \d": "apache-2-line",
+}
+
+
+def test_every_license_statement_of_the_tables_has_a_label(spark, sf):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.op6_licenses(spark, sf).collect()}
+    seen = 0
+    for i, text in texts.items():
+        wanted = {label for statement, label in STATEMENTS.items() if re.search(statement, text)}
+        assert wanted <= found[i], text
+        assert wanted or "licen" not in text.lower(), text
+        seen += len(wanted)
+    assert seen
+
+
 def test_query_on_whole_table(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     rows = licenses.op6_licenses(spark, sf).collect()
