@@ -1,12 +1,13 @@
 """Secret scans: pattern candidates judged by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least 10 key characters with a digit. Features: length, shares of digits and capitals, rate of
-changes between character classes, distinct characters, coverage by common word parts, path signs, and neighbouring
-words that speak for or against a secret. The forest is trained by Spark ML from labelled findings (texts with one
+A candidate is a run of at least 10 key characters with a digit, or any value of at least 4 characters right behind a
+credential word and an assignment, whatever its signs: passphrases, letter-only keys, short passwords. Features: length, shares of digits and capitals, rate of
+changes between character classes, distinct characters, coverage by common word parts, path signs, placeholders, and
+neighbouring words that speak for or against a secret. The forest is trained by Spark ML from labelled findings (texts with one
 finding and its label) and written out as SQL, so that scoring stays within the same row expression.
 
 Default findings come from a rule: digests and encodings of numbers in the surroundings of credentials, against commit
-ids, checksums, identifiers, file names, versions, number runs and placeholders. A caller may pass findings of their own.
+ids, checksums, identifiers, file names, versions, number runs, placeholders and plain words behind an assignment. A caller may pass findings of their own.
 
 Defined results: null and empty texts have no candidates, empty spans and a null score; rows are independent, so repeated rows
 have repeated results; an empty table gives an empty table; without findings of both labels every candidate
@@ -24,7 +25,11 @@ from .common import read
 from .pii import located, quoted
 
 _KEY = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{10,}}+"
+#: A credential word and an assignment, up to where the value begins.
+_CREDENTIAL = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|auth|private|secret)[ _-]?key|auth|credentials?)[\"']?[ ]{0,2}(?::=|=>|=|:)[ ]{0,2}"
+#: The short look behind comes first, since it fails at most places.
+_ASSIGNED = rf"(?<=[=:>][ \"']{{0,3}})(?<=(?i:{_CREDENTIAL})[\"']?)[^\s\"'`,;<>()=:][^\s\"'`,;<>()]{{2,}}[^\s\"'`,;<>().!?]"
+CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{10,}}+|{_ASSIGNED}"
 #: Findings of the default rule, trees, depth; a score of LEAST or more is a secret.
 FINDINGS, TREES, LEVELS, LEAST = 3000, 15, 6, 0.5
 
@@ -33,6 +38,9 @@ PARTS = "the|ing|and|ion|ent|for|tio|ati|ter|con|res|ver|all|ons|est|per|ith|use
 FOR = r"token|secret|passw|pwd|api[ _-]?key|auth|credential|private"
 AGAINST = r"sha-?(1|256|512)|md5|checksum|digest|commit|uuid|revision|etag|hash|version|order|isbn|doi"
 
+#: Values that stand for a value.
+STANDS_FOR = r"^(none|null|nil|true|false|yes|no|empty|required|optional|string|text|field|basic|bearer|enabled|disabled|invalid|missing|expired|unknown|please|hidden|request|response|header|value)$|your|example|change_?me|placeholder|redacted|dummy|xxx|[*]{3}|environ|getenv|self[.]|[$%{]"
+
 #: Feature name and SQL over y.value and y.near.
 FEATURES = {
     "length": "length(y.value)",
@@ -46,6 +54,8 @@ FEATURES = {
     "letter_run": "coalesce(array_max(transform(regexp_extract_all(y.value, '[A-Za-z]+', 0), z -> length(z))), 0) / length(y.value)",
     "words_for": f"case when y.near rlike {quoted(FOR)} then 1 else 0 end",
     "words_against": f"case when y.near rlike {quoted(AGAINST)} then 1 else 0 end",
+    "stands_for": f"case when lower(y.value) rlike {quoted(STANDS_FOR)} then 1 else 0 end",
+    "credential": f"case when y.near rlike {quoted(_CREDENTIAL + chr(91) + chr(34) + chr(39) + chr(93) + '? ')} then 1 else 0 end",
     "assigned": r"case when y.near rlike '[=:][ \"\']{0,2} ' then 1 else 0 end",
 }
 
@@ -55,7 +65,7 @@ def candidates(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     none = "cast(array() as array<string>)"
     pattern = quoted(CANDIDATE)
-    rows = rows.withColumn("m", F.expr(f"case when text rlike '[0-9]' then regexp_extract_all(text, {pattern}, 0) else {none} end"))
+    rows = rows.withColumn("m", F.expr(f"case when text rlike '[0-9=:]' then regexp_extract_all(text, {pattern}, 0) else {none} end"))
     rows = rows.withColumn("p", F.expr(f"case when size(m) > 0 then split(text, {pattern}, -1) else {none} end"))
     fields = ", ".join(f"'{k}', cast({v} as double)" for k, v in FEATURES.items())
     made = f"transform({located('m', 'p')}, y -> named_struct('start', y.start, 'end', y.end, 'value', y.value, {fields}))"
@@ -68,6 +78,10 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """text, label: one finding a text, by rule."""
     hexa, wide = "sha1(cast(id as string))", "sha2(cast(id as string), 256)"
     coded = f"base64(unhex({wide}))"
+    letters = f"translate({coded}, '+/=0123456789', 'kQzRwXbTgYmVp')"
+    pick = lambda step, *words: f"element_at(array({', '.join(map(repr, words))}), cast(1 + id div (28 * {step}) % {len(words)} as int))"  # noqa: E731 (28 texts take turns)
+    some = ("correct", "Purple", "horse", "Monkey", "dragon", "Winter", "battery", "summer", "Coffee", "sun", "Rocket", "blue")
+    word, camel = pick(1, *some), f"concat({pick(1, *some)}, initcap({pick(12, *some)}), initcap({pick(5, *some)}))"
     true = [
         f"concat('set token = \"', {hexa}, '\" now')",
         f"concat('password=', substr({hexa}, 1, cast(12 + id % 13 as int)), ' and more')",
@@ -75,6 +89,12 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         f"concat('the client secret is \"', substr({coded}, 1, 32), '\" kept')",
         f"concat('auth key AK', upper(translate(substr({wide}, 1, 16), '0189', 'WXYZ')), '7 was found')",
         f"concat('private key = ', substr(translate({coded}, '+/=', 'abc'), 1, 40))",
+        f"concat('password=', substr({letters}, 1, cast(12 + id % 13 as int)), ' and more')",
+        f"concat('api_key: \"', substr({letters}, 1, 20), '\" in use')",
+        f"concat('password=', {camel}, ' is set')",
+        f"concat('password: ', {word}, cast(id % 97 as string), ' for the login')",
+        f"concat('pwd = \"', substr({letters}, 1, cast(6 + id % 5 as int)), '\" there')",
+        f"concat('password=', {word}, cast(id % 97 as string), ' was leaked')",
     ]
     false = [
         f"concat('see commit ', {hexa}, ' for this')",
@@ -88,6 +108,11 @@ def default_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         "concat('a configuration', cast(id as string), 'file_of_tests here')",
         "concat('call ', cast(4900000000000 + id * 104729 as string), ' today')",
         f"concat('etag ', substr({hexa}, 1, 32), ' cached')",
+        f"concat('password: ', {pick(1, 'required', 'string', 'please', 'none', 'true', 'hidden', 'field', 'missing')}, ' in this form')",
+        f"concat('token = ', {pick(1, 'None', 'null', 'request', 'self.token', 'os.environ', 'string', 'value')}, ' here')",
+        f"concat('secret: ', {pick(1, 'this', 'that', 'they', 'when', 'with', 'there', 'after', 'which')}, ' and so on')",
+        f"concat('password = \"', {pick(1, 'your_password', 'changeme', 'xxxxxxxx', '********', 'example', 'placeholder')}, '\" as example')",
+        f"concat('auth: ', {pick(1, 'basic', 'bearer', 'enabled', 'invalid', 'expired', 'unknown')}, ' in the log')",
     ]
     texts = [(t, 1) for t in true] + [(t, 0) for t in false]
     cases = " ".join(f"when {i} then named_struct('text', {t}, 'label', {y})" for i, (t, y) in enumerate(texts))

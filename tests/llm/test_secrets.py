@@ -30,6 +30,21 @@ def test_forest_tells_held_out_findings(spark):
     assert right >= 0.97 * len(rows) > 900
 
 
+def test_values_without_digits_and_short_ones_are_proposed_and_judged(spark):
+    letters = ["QwXbTgYmVpkRzLdf", "hGtReWqAsDfZxCvB", "mNbVcXzLkJhGfDsA", "pOiUyTrEwQaSdFgH"]
+    secret = {"password=correctHorseBattery": "correctHorseBattery", "password: hunter2.": "hunter2", 'his "password": "hunter2", then': "hunter2"}
+    secret |= {f"password={x} is it": x for x in letters} | {f'api_key = "{x}"': x for x in letters}
+    plain = {"password: required for all": "required", "token = None": "None", 'password = "your_password" here': "your_password", "Auth: bearer then": "bearer"}
+    nothing = ["a word: hunter2", "the password is long", "password: ", "password=abc", "https://host/path", "compass: north"]
+    texts = [*secret, *plain, *nothing]
+    out = secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), None, "doc_id").collect()
+    for r in out:
+        text, wanted = texts[r.doc_id], (secret | plain).get(texts[r.doc_id])
+        assert [s.value for s in r.found] == ([wanted] if wanted else []), text
+        for s in r.found:
+            assert text[s.start : s.end] == s.value and (s.score >= secrets.LEAST) == (text in secret), (text, s.score)
+
+
 def test_degenerate_findings(spark):
     docs = spark.createDataFrame([(1, "token = abcdefghij1234")], "doc_id long, text string")
     none = spark.createDataFrame([], "text string, label int")
