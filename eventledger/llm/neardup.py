@@ -7,15 +7,18 @@
 3. Within a band's bucket all members are compared with one pivot, not with each other; each bucket has
    another pivot. Signatures that agree in under 63% (7 standard deviations under 0.8) end a candidate; the
    others are confirmed on full sets.
-4. Buckets whose members are then still in several components are searched for the links between those
-   components: members are dealt into blocks of about 256 by the largest such bucket they are in, and pairs of
-   blocks that share a bucket are compared in one task each, on full sets. So no link is lost, no row is made
-   per pair, and a bucket of any size is split.
+4. Buckets whose members are then still in several components are open. Each member of one is compared with a few
+   centres: its set is written as the difference from the centre's, which is small in a group of near copies. Either both
+   of two sets are close enough to the centre to be linked through it, or their differences must overlap by a known number,
+   so they share one of each one's rarest elements; such pairs are confirmed on full sets. No link is lost, and sets that
+   only have in common what the whole group has are never paired.
 5. Components by alternating large-star and small-star.
 
 Defined results: null and empty texts have no set and link with nothing; a text of fewer than k words has one
-shingle, the whole sequence; rows with equal doc_id are one node; a null doc_id has a null component and is
-kept; empty tables give empty tables. Only doc_id and text are read, so other columns can't clash.
+shingle, the whole sequence; rows with equal doc_id are one node, linked with whatever one of its texts is linked with; a
+null doc_id is linked with nothing, has a null component and is kept; empty tables give empty tables. Only doc_id and text are
+read, so other columns can't clash. deduplicated() keeps one row of each component: of rows with the doc_id that stays the one
+with the least text, and of rows with null doc_id one of each text.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import NON_SPACE, Words, groups, mixed, words_of
@@ -34,7 +37,7 @@ from .components import components
 BANDS, ROWS = 48, 6
 #: Signatures agreeing in fewer of their BANDS * ROWS minima end a candidate.
 AGREE = 183
-#: Members of a block.
+#: Visitors of a centre that share one copy of its set.
 BLOCK = 256
 _RANDOM = np.random.default_rng(97)
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,38 +150,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int)
     return staged(both.where(100 * F.col("inter") >= percent * F.col("both")).select("a", "b"), "links")
 
 
-def _between(percent: int):
-    """Links between different roots within a pair of blocks; at most one for each two roots."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        reps, roots, side = (table.column(c).to_numpy() for c in ("rep", "root", "side"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(reps), -1)
-        shingles = table.column("shingles").combine_chunks()
-        size = np.diff(shingles.offsets.to_numpy())
-        start = np.cumsum(size) - size
-        words, at = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
-        mark = np.zeros(len(words), dtype=bool)
-        alone, out, seen = not side.any(), [], set()
-        for i in np.flatnonzero(side == 0):
-            others = np.flatnonzero((roots != roots[i]) & ((np.arange(len(reps)) > i) if alone else side == 1))
-            others = others[(bands[others] == bands[i]).any(axis=1)]
-            if not len(others):
-                continue
-            mark[:] = False
-            mark[at[start[i] : start[i] + size[i]]] = True
-            for j in others:
-                pair = (min(roots[i], roots[j]), max(roots[i], roots[j]))
-                if pair in seen:
-                    continue
-                inter = int(np.count_nonzero(mark[at[start[j] : start[j] + size[j]]]))
-                if 100 * inter >= percent * (int(size[i]) + int(size[j]) - inter):
-                    seen.add(pair)
-                    out.append((reps[i], reps[j]))
-        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return run
+def _visits(open_: DataFrame) -> DataFrame:
+    """(centre, rep, root, parts): the centres that each member of an open bucket is compared with.
+
+    A member's home is the largest open bucket that it is in; members visit the homes of all that they share an open bucket
+    with, so any two that share one meet. A home's centre is the visitor that meets most members; homes with one centre are one.
+    """
+    per = open_.groupBy("rep").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.sum("n").alias("reach"))
+    met = open_.select("bucket", "rep").join(per, "rep")
+    meets = met.select("bucket", "home").distinct()
+    top = met.groupBy("bucket").agg(F.max(F.struct("reach", "rep")).alias("top"))
+    centres = meets.join(top, "bucket").groupBy("home").agg(F.max("top")["rep"].alias("centre"))
+    there = meets.join(centres, "home").select("bucket", "centre").distinct()
+    visits = staged(open_.join(there, "bucket").select("centre", "rep", "root").distinct(), "visits")
+    parts = visits.groupBy("centre").agg(F.count("*").alias("m"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return visits.join(parts.where("least <> most").select("centre", F.expr(f"(m + {BLOCK - 1}) div {BLOCK}").alias("parts")), "centre")
+
+
+def _deltas(visits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each visitor's set as its difference from the centre's.
+
+    With far = (100 + percent) |difference| - (100 - percent) |set|, two sets are similar enough if the sum of their far is 0
+    or less; else if and only if their differences share at least that sum over 2 (100 + percent). The centre has the least far.
+    """
+    dealt = visits.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    copies = visits.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).distinct()
+    copies = copies.join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("middle")), "centre")
+    both = dealt.join(sets.select("rep", "shingles"), "rep").join(copies, ["centre", "part"])
+    apart = F.concat(F.array_except("shingles", "middle"), F.array_except("middle", "shingles"))
+    rows = both.select("centre", "rep", "root", F.size("shingles").alias("n"), apart.alias("delta"), (-(100 - percent) * F.size("middle")).alias("far_c"))
+    rows = rows.withColumn("far", (100 + percent) * F.size("delta") - (100 - percent) * F.col("n"))
+    return staged(rows.withColumn("outer", F.expr("far + far_c > 0")), "deltas")
+
+
+def _candidates(deltas: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre's visitors, at least one of them outside its reach, whose differences may share enough.
+
+    Differences are ordered by how many visitors hold an element, rarest first. Two that share s elements share one among
+    the first |difference| - s + 1 of each. What most visitors have in common is in no difference.
+    """
+    twice = 2 * (100 + percent)
+    least = F.when(F.col("outer"), F.col("far") + F.col("far_c")).otherwise(F.col("far") - F.col("far_c") + 1)
+    rows = deltas.join(deltas.where("outer").select("centre").distinct(), "centre", "left_semi")
+    rows = rows.select("centre", "rep", "root", "n", "far", "outer", F.size("delta").alias("d"), (F.size("delta") - F.ceil(least / twice) + 1).alias("first"), F.explode("delta").alias("token"))
+    shared = rows.withColumn("held", F.count("*").over(Window.partitionBy("centre", "token"))).where("held > 1")
+    one = Window.partitionBy("centre", "rep")
+    alone = F.col("d") - F.count("*").over(one)
+    rows = shared.withColumn("place", alone + F.row_number().over(one.orderBy("held", "token"))).where("place <= first")
+    rows = staged(rows.drop("first", "held"), "prefixes")
+    x, y = rows.where("outer").alias("x"), rows.alias("y")
+    room = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) + 1
+    pairs = x.join(y, ["centre", "token"]).where("x.root <> y.root and (x.rep < y.rep or not y.outer)")
+    pairs = pairs.where((twice * room >= F.col("x.far") + F.col("y.far")) & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+    return staged(pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "pairs")
 
 
 def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -186,17 +210,9 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, reps: DataFrame
     known = members.where("n > 2").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"))
     split = known.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     open_ = staged(known.join(split, "bucket", "left_semi"), "open")
-    home = open_.groupBy("rep", "root").agg(F.max(F.struct("n", "bucket")).alias("h")).select("rep", "root", F.col("h.bucket").alias("home"))
-    home = home.join(home.groupBy("home").agg(F.count("*").alias("m")), "home")
-    part = F.pmod(F.xxhash64("rep"), F.expr(f"(m + {BLOCK - 1}) div {BLOCK}"))
-    block = staged(home.select("rep", "root", F.xxhash64("home", part).alias("block")), "blocks")
-    meets = open_.join(block.select("rep", "block"), "rep").select("bucket", "block").distinct()
-    pair = meets.join(meets.withColumnRenamed("block", "other"), "bucket").where("block <= other").select("block", "other").distinct()
-    sides = pair.select(F.col("block").alias("p"), F.col("other").alias("q"), F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q")))
-    full = block.join(sets, "rep").join(reps.select("rep", "bands"), "rep")
-    groups_ = sides.join(full, "block").select("p", "q", "side", "rep", "root", "bands", "shingles").groupBy("p", "q")
-    return staged(groups_.applyInArrow(_between(percent), "a long, b long").distinct(), "links")
+    deltas = _deltas(_visits(open_), sets, percent)
+    stars = deltas.where("not outer and rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+    return staged(stars.unionByName(_confirmed(_candidates(deltas, percent), sets, reps, percent)).distinct(), "links")
 
 
 @trimmed
@@ -209,6 +225,12 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _same_id(full: DataFrame) -> DataFrame:
+    """Edges (u, v) between classes of equal sets that one doc_id lies in; full has doc_id and the class's rep."""
+    several = full.groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("most")).where("v <> most").select("doc_id", "v")
+    return full.select("doc_id", F.col("rep").alias("u")).join(several, "doc_id").where("u <> v").select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -216,7 +238,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = profile.where("n_shingles > 0 and doc_id is not null")
     key = ["fp1", "fp2", "n_shingles"]
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = staged(full.join(classes, key).where("doc_id = rep").select("rep", "bands", "signature").dropDuplicates(["rep"]), "reps")
+    # A doc_id with several texts may represent several classes; its rows then stand side by side here and in sets.
+    reps = staged(full.join(classes, key).where("doc_id = rep").select("rep", *key, "bands", "signature").dropDuplicates(["rep", *key]).drop(*key), "reps")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     # rep XOR bucket orders the members of each bucket in another way; its least gives the pivot.
     stars = rows.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -227,10 +250,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wanted = bloom_of(wanted.select(F.xxhash64("id").alias("h")), "h")
     hashed = texts.withColumn("h", F.xxhash64("doc_id"))
     sets = hashed.mapInArrow(_sets(k, wanted), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
-    sets = staged(sets.join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
-    links = _confirmed(pairs, sets, reps, percent)
+    sets = staged(sets.join(reps.select("rep").distinct(), "rep", "left_semi").where("size(shingles) > 0"), "sets")
     as_edges = lambda x: x.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    roots = staged(components(as_edges(links)), "roots")
+    linked = as_edges(_confirmed(pairs, sets, reps, percent)).unionByName(_same_id(full.join(classes, key).select("doc_id", "rep")))
+    roots = staged(components(linked), "roots")
     more = _rest(members, roots, sets, reps, percent)
     if not more.isEmpty():
         old = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -244,8 +267,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component of near-duplicates, all columns kept."""
-    kept = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.expr("doc_id <=> _kept"), "left_semi")
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = staged(near_duplicates(docs, k, percent).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "kept")
+    single = rows.join(ids.where("kept and n = 1 and doc_id is not null").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    out = single.select("row")
+    # Few tables have such rows; only they are read again for them.
+    if not ids.where("kept and n > 1 and doc_id is not null").isEmpty():
+        again = rows.join(ids.where("kept and n > 1").select(F.col("doc_id").alias("id")), "id", "left_semi")
+        out = out.unionByName(again.groupBy("id").agg(F.min_by("row", "text").alias("row")).select("row"))
+    if not ids.where("doc_id is null").isEmpty():
+        out = out.unionByName(rows.where("id is null").groupBy("text").agg(F.first("row").alias("row")).select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

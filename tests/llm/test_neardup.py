@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventledger.llm import components, neardup
 
@@ -83,7 +84,18 @@ def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
     rows = sorted(neardup.near_duplicates(docs, 2).collect(), key=lambda r: r.doc_id or 0)
     assert [(r.doc_id, r.component_id, r.kept) for r in rows] == [(None, None, True), (1, 1, True), (1, 1, True), (3, 1, False)]
-    assert neardup.deduplicated(docs, 2).count() == 3
+    kept = neardup.deduplicated(docs.withColumn("kept", F.lit(7)).withColumn("row", F.lit(8)), 2)
+    assert kept.columns == ["doc_id", "text", "kept", "row"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1]
+
+
+def test_repeated_ids_are_one_node(spark):
+    """One id on several texts joins what each of them is linked with; null ids of one text stay once."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(5, one), (5, two), (2, one + " x"), (3, two + " y"), (9, three), (9, three), (None, one), (None, one), (7, two), (7, three), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs, 5).collect()}
+    assert found == {(5, 2), (2, 2), (3, 2), (9, 2), (7, 2), (None, None), (8, 8)}
+    assert sorted((r.doc_id or 0, r.text) for r in neardup.deduplicated(docs, 5).collect()) == [(0, one), (2, one + " x"), (8, "")]
 
 
 def test_components(spark):
