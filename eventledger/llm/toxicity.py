@@ -4,13 +4,15 @@ Features: densities of a fixed lexicon and of a learned one (words, and word beg
 forms), lexicon words near second-person words, capitals, punctuation, and obfuscation (signs or digits
 between letters, lexicon words once such signs are read as letters).
 
-Learning uses a bounded sample of the labelled rows, those with the least id hashes; SAMPLE is the bound.
+Learning uses a bounded sample of the labelled rows, those with the least id hashes; SAMPLE is the bound. Weights of the learned
+lexicon are log ratios shrunk by count; it holds each token of two toxic documents or more that lies STRIKING standard deviations
+above the toxic share of the documents that have it, however many these are.
 It falls into FOLDS parts by id hash. The trees see each row with lexicon features learned without its part, as unseen texts have
 them; isotonic calibration fits scores of trees grown without the row's part. Scoring uses the lexicon of the whole sample.
 
 Defined results: null and empty texts have zero features and a score like any other; without labels, or
 with one class only, the score is the labelled share (0.5 without labels); repeated rows have repeated
-results; empty tables give empty tables. Only doc_id, text and labels' doc_id, toxic are read.
+results; of a labelled id with several texts the least is learned from; empty tables give empty tables. Only doc_id, text and labels' doc_id, toxic are read.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM, Words, groups, mixed, words_of
-from .common import drop_stage, read, staged, trimmed
+from .common import drop_stage, read, staged, trimmed, unused
 from .gbt import Boosted, isotonic
 
-#: Labelled rows used at most, and entries of the learned lexicon at most.
-SAMPLE, ENTRIES, FOLDS = 16_000, 4096, 4
+#: Labelled rows used at most.
+SAMPLE, FOLDS = 16_000, 4
+#: Of the learned lexicon: standard deviations above the toxic share, and documents' worth of that share in each weight.
+STRIKING, SHRINK = 3.0, 2.0
 #: Bytes of word beginnings that the learned lexicon may hold; 0 stands for whole words.
-BEGINNINGS = (0, 3, 4, 5, 6, 8)
+BEGINNINGS = (0, 3, 4, 5, 6, 7, 8)
 #: Words that insult in themselves.
 LEXICON = "trash pathetic idiot worthless disgusting stupid clown scum loser moron idiots losers morons dumb filthy vermin garbage imbecile".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre ti tú usted tus".split()
@@ -57,6 +61,15 @@ FEATURES = (
 ).split()
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the accented capitals of Latin-1 as small letters (words_of folds A-Z itself)."""
+    out = data.copy()
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = (data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)
+    out[second[capital]] += 0x20
+    return out
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     data = " ".join(words).encode()
     return np.sort(words_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), ALNUM).hashes)
@@ -102,7 +115,8 @@ def _sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def features(data: np.ndarray, offsets: np.ndarray, learned: Lookup) -> np.ndarray:
     """One row of FEATURES for each text."""
-    words = words_of(data, offsets, ALNUM)
+    small = lowered(data)
+    words = words_of(small, offsets, ALNUM)
     n, size = np.diff(words.bounds), np.diff(offsets)
     each, byte = np.maximum(n, 1), np.maximum(size, 1)
     fixed = _lookup(LEXICON).of(words.hashes)
@@ -120,7 +134,7 @@ def features(data: np.ndarray, offsets: np.ndarray, learned: Lookup) -> np.ndarr
     if len(data) > 2:
         letter = _LETTER[data]
         inner[1:-1] = _SIGN[data[1:-1]] & letter[:-2] & (letter[2:] | _SIGN[data[2:]])
-    leet_words = words_of(np.where(inner, _LEET[data], data), offsets, ALNUM)
+    leet_words = words_of(np.where(inner, _LEET[data], small), offsets, ALNUM)
     leet = _sum(_lookup(LEXICON).of(leet_words.hashes), leet_words.bounds)
     upper = np.zeros(len(data) + 1)
     np.cumsum(_UPPER[data], out=upper[1:])
@@ -145,7 +159,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind = (2 * batch.column("fold").to_numpy() + batch.column("toxic").to_numpy()).astype(np.int64)
         for first, last, data, offsets in groups(batch.column("text")):
-            words = words_of(data, offsets, ALNUM)
+            words = words_of(lowered(data), offsets, ALNUM)
             owner = words.owner()
             for k in BEGINNINGS:
                 token = _tokens(words, k)
@@ -162,8 +176,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def learn_lexica(sample: DataFrame, entries: int = ENTRIES) -> list[Lookup]:
-    """Tokens that toxic texts hold at three times the rate of others, by weighted log ratio.
+def learn_lexica(sample: DataFrame) -> list[Lookup]:
+    """Tokens that toxic texts hold far more often than their share, weighted by how much more often they occur there.
 
     One lexicon for each fold, learned from the others, and last one from the whole sample.
     """
@@ -171,7 +185,7 @@ def learn_lexica(sample: DataFrame, entries: int = ENTRIES) -> list[Lookup]:
     kinds = range(2 * FOLDS)
     one = lambda c, v: F.sum(F.when(F.col("kind") == v, F.col(c)).otherwise(0)).alias(f"{c[0]}{v}")
     per = counts.groupBy("token").agg(*[one(c, v) for v in kinds for c in ("occurrences", "documents")])
-    per = staged(per.where(" + ".join(f"d{v}" for v in kinds if v % 2) + " >= 3"), "toxic-tokens")
+    per = staged(per.where(" + ".join(f"d{v}" for v in kinds if v % 2) + " >= 2"), "toxic-tokens")
     have = {r.kind: r.n for r in sample.groupBy((2 * F.col("fold") + F.col("toxic")).alias("kind")).agg(F.count("*").alias("n")).collect()}
     out = []
     for left_out in (*range(FOLDS), None):
@@ -180,10 +194,12 @@ def learn_lexica(sample: DataFrame, entries: int = ENTRIES) -> list[Lookup]:
         if not n0 or not n1:
             out.append(Lookup(np.zeros(0, dtype=np.uint64), np.zeros(0)))
             continue
+        share = n1 / (n0 + n1)
         total = lambda c, vs: sum((F.col(f"{c}{v}") for v in vs), F.lit(0))
-        ratio = F.ln(((total("o", bad) + 0.5) / n1) / ((total("o", good) + 0.5) / n0))
-        top = per.select("token", total("d", bad).alias("d"), ratio.alias("ratio")).where((F.col("d") >= 3) & (F.col("ratio") > float(np.log(3))))
-        top = top.orderBy((F.col("ratio") * F.sqrt("d")).desc(), "token").limit(entries).toPandas()
+        d1, d, o1, o = total("d", bad), total("d", [*good, *bad]), total("o", bad), total("o", [*good, *bad])
+        striking = (d1 - d * share) / F.sqrt(d * share * (1 - share))
+        ratio = F.ln((o1 + SHRINK * share) / (o + SHRINK) / share)
+        top = per.where((d1 >= 2) & (striking > STRIKING) & (ratio > float(np.log(2)))).select("token", ratio.alias("ratio")).toPandas()
         keys, weights = top["token"].to_numpy(np.int64).view(np.uint64), top["ratio"].to_numpy(float)
         order = np.argsort(keys)
         out.append(Lookup(keys[order], weights[order]))
@@ -217,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id, toxic. At most sample labelled rows are broadcast, learned from and brought to the driver as features."""
     chosen = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample).withColumnRenamed("doc_id", "_labelled")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.expr("doc_id = _labelled")).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.expr("doc_id = _labelled"))
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = staged(rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(FOLDS)).cast("int").alias("fold")).coalesce(8), "toxic-sample")
     *partial, learned = learn_lexica(rows)
     parts = [rows.where(F.col("fold") == f).mapInArrow(_features_only(lexicon), "fold int, toxic int, x array<double>") for f, lexicon in enumerate(partial)]
@@ -235,34 +252,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(learned, trees, isotonic(outside, y))
 
 
-def _scores(model: Model, keep: list[str]):
+def _scores(model: Model, keep: list[str], name: str):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [model.score(features(data, offsets, model.learned)) for _, _, data, offsets in groups(batch.column("text"))]
             if parts:
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(parts))], names=[*keep, "_score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(parts))], names=[*keep, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all by default), and a column _score."""
+def scored(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "toxicity_score") -> DataFrame:
+    """The columns keep of docs (all by default), and one more: name, which must be none of them."""
     keep = docs.columns if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(_scores(model, keep), schema)
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scores(model, keep, name), schema)
 
 
 def non_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs that a model learned from labels scores under least; all columns stay."""
-    return scored(docs, train(docs, labels)).where(F.col("_score") < least).drop("_score")
+    score = unused(docs.columns, "score")
+    return scored(docs, train(docs, labels), name=score).where(F.col(score) < least).drop(score)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder != 0))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"])
-    return rows.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(remainder == 0, F.lit(False))
+    rows = scored(docs.select("doc_id", held_out.alias("held_out"), "text"), model, ["doc_id", "held_out"], "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

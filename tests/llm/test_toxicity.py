@@ -26,7 +26,7 @@ def world(n, seed=5):
 def test_scores_held_out_documents(spark, tmp_path):
     docs, labels = world(1500)
     extra = [(2000, None), (2001, ""), (2002, "x" * 300_000), (2003, "you idiot " * 20_000), (None, "no id"), (2001, "")]
-    spark.createDataFrame([(i, t, "en", 0.5) for i, t in docs + extra], "doc_id long, text string, lang string, _score double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", 0.5) for i, t in docs + extra], "doc_id long, text string, lang string, score double").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([*labels, (5000, 1), (None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
     assert len(rows) == len(docs) + len(extra)
@@ -47,7 +47,7 @@ def test_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none)
-    assert {r._score for r in toxicity.scored(docs, model).collect()} == {0.5}
+    assert {r.toxicity_score for r in toxicity.scored(docs, model).collect()} == {0.5}
     assert toxicity.scored(docs.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert toxicity.non_toxic(docs, one).collect() == docs.collect()
@@ -71,3 +71,20 @@ def test_query_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
     held = [(rows[r.doc_id].predicted, r.toxic) for r in labels if rows[r.doc_id].held_out]
     assert sum(p == t for p, t in held) >= 0.97 * len(held)
+    toxic, found, right = sum(t for _, t in held), sum(p for p, _ in held), sum(p and t for p, t in held)
+    assert right >= 0.9 * toxic > 0 and right >= 0.97 * found
+
+
+def test_accented_capitals_are_folded():
+    texts = ["RÉEUXON Ñ × ÷ À", "réeuxon ñ × ÷ à"]
+    data = [np.frombuffer(t.encode(), dtype=np.uint8) for t in texts]
+    assert toxicity.lowered(data[0]).tobytes().decode() == "RéEUXON ñ × ÷ à" and (toxicity.lowered(data[1]) == data[1]).all()
+
+
+def test_columns_of_any_name_stay(spark):
+    docs, labels = world(300)
+    names = ["doc_id", "text", "score", "_score", "toxic", "fold", "_labelled", "toxicity_score"]
+    frame = spark.createDataFrame([(i, t, *range(6)) for i, t in docs], names)
+    kept = toxicity.non_toxic(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == names and 0 < kept.count() < 300
+    assert kept.select(*names[2:]).distinct().collect() == [tuple(range(6))]
