@@ -1,18 +1,18 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-Each document gets an exponential key -ln(u)/w, u a hash of its id and w its quality weight. Within a
+Each document gets an exponential key -ln(u)/w, u a hash of its id and text and w its quality weight. Within a
 source documents are taken in key order until the prefix sum of their sizes meets the source's budget; of
 the document at which it ends, the query counts only the words that the budget leaves, and the pipeline
 takes it whole if at least half fits.
 Budgets over the source's size first take complete epochs; the rest is selected by key.
 
-Prefix sums are two-level, so that no source is gathered in one task: keys fall into a fixed number of
-buckets by the key's own distribution, buckets are summed per source, and only rows of one bucket are
-ordered together.
+No source is gathered in one task: keys fall into cells by the key's own distribution, cells are summed per source, and the
+one cell in which the budget ends is divided again, LEVELS times. Of the last cell's rows equal ones are added up before they are ordered.
 
 Defined results: a null text has size 0, a null source is a source of its own (last), a source without
-words has target 0, documents without words are never taken, rows with equal id, text and source get the
-same decision, empty tables give empty tables. Only the named columns are read, so other columns can't clash.
+words has target 0, documents without words are never taken; rows with equal id, text and source follow each other,
+and if the budget ends among them, so many of them are taken as it allows, no matter which; empty tables give empty tables. Only the
+named columns are read, so other columns can't clash. Sources themselves are ordered in one task, one row each.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from .common import read, staged
 
 #: Parameters of the registered query.
 WEIGHTS = (5, 2, 1)
-SHARE, LIMIT, BUCKETS, SEED = 1.5, 2.0, 1024, "mix-1"
+SHARE, LIMIT, SEED = 1.5, 2.0, "mix-1"
+#: Parts that a cell is divided into, and how often.
+CELLS, LEVELS = 1024, 3
 #: Signs whose share lowers a document's quality weight, down to a half.
 NOISE = "#$%*&|{}<>^~"
 
@@ -40,21 +42,23 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(1 - 0.5 * F.least(F.lit(1.0), 5 * share), F.lit(1.0))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 48 bits of a digest of the id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+def digest(doc_id: Column, text: Column, seed: str) -> Column:
+    """Hex digest of the seed, id and text: where u comes from, and the order of rows with equal keys."""
+    text = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), text).cast("binary"))
+
+
+def key_of(mark: Column, weight: Column) -> Column:
+    """The exponential key, from 48 bits of the digest."""
+    u = (F.conv(F.substring(mark, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+    return -F.ln(u) / weight
 
 
 def keyed(docs: DataFrame, seed: str = SEED, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, key of each row."""
+    """doc_id, source, size, mark and key of each row."""
     w = quality_weight(F.col("text")) if weight is None else weight
-    return docs.select(
-        "doc_id",
-        "source",
-        word_count(F.col("text")).alias("size"),
-        (-F.ln(uniform(F.col("doc_id"), seed)) / w).alias("key"),
-    )
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest(F.col("doc_id"), F.col("text"), seed).alias("mark"), w.alias("w"))
+    return rows.select("doc_id", "source", "size", "mark", key_of(F.col("mark"), F.col("w")).alias("key"))
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -83,100 +87,100 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, li
     )
 
 
-def thresholds(sized: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """source, source_size, target, epochs and the last key (and id) that fractional selection takes."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("tie")
-    rows = sized.where("size > 0").select(
-        "source", "size", "key", id_, F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets)).cast("int").alias("bucket")
-    )
-    per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("mass"))
-    ordered = Window.partitionBy("source").orderBy("bucket")
-    base = F.sum("mass").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mass")
-    per_bucket = per_bucket.withColumn("base", base)
-    goal = target.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # The one bucket of a source in which its budget ends.
-    g, b = goal.alias("g"), per_bucket.alias("b")
-    edge = b.join(g, F.expr("b.source <=> g.source")).where("g.rest >= b.base and g.rest < b.base + b.mass")
-    edge = edge.select("b.source", "b.bucket", "b.base", "g.rest")
-    r, e = rows.alias("r"), edge.alias("e")
-    near = r.join(e, F.expr("r.source <=> e.source and r.bucket = e.bucket")).select("r.*", "e.base", "e.rest")
-    inside = Window.partitionBy("source").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = F.col("base") + F.sum("size").over(inside) - F.col("size")
-    part = F.least(F.col("size"), F.floor(F.col("rest") - prefix)).alias("part")
-    last = (
-        near.select("source", "bucket", F.when(prefix < F.col("rest"), F.struct("key", "tie", "size", part)).alias("at"))
-        .groupBy("source", "bucket")
-        .agg(F.max("at").alias("last"))
-    )
-    t, g2 = last.alias("t"), goal.alias("g")
-    return g2.join(t, F.expr("g.source <=> t.source"), "left").select(
-        "g.source", "g.source_size", "g.target", "g.epochs", "t.bucket",
-        F.col("t.last.key").alias("last_key"), F.col("t.last.tie").alias("last_tie"), F.col("t.last.size").alias("last_size"), F.col("t.last.part").alias("part"),
-    )
-
-
-def selected(key: Column, tie: Column, buckets: int = BUCKETS) -> tuple[Column, Column]:
-    """Beside the columns of thresholds(): is a row before its source's last one, is it the last one."""
-    bucket = F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-key)) * buckets)).cast("int")
-    at = F.coalesce(tie.cast("long"), F.lit(-(1 << 63)).cast("long"))
-    inside = (bucket == F.col("bucket")) & ((key < F.col("last_key")) | ((key == F.col("last_key")) & (at < F.col("last_tie"))))
-    is_last = (key == F.col("last_key")) & (at == F.col("last_tie"))
-    return F.coalesce((bucket < F.col("bucket")) | inside, F.lit(False)), F.coalesce(is_last, F.lit(False))
-
-
-def words_taken(key: Column, tie: Column, size: Column) -> Column:
-    """Words taken of a row: whole epochs, then all of it, or of the last one what the budget leaves."""
-    before, is_last = selected(key, tie)
-    return size * F.col("epochs") + F.when(before, size).when(is_last, F.col("part")).otherwise(F.lit(0).cast("long"))
-
+def thresholds(sized: DataFrame, target: DataFrame) -> DataFrame:
+    """source, source_size, target, epochs and where fractional selection ends.
 
-def copies(key: Column, tie: Column, size: Column) -> Column:
-    """Whole copies of a row: the last document counts if at least half of it is in the budget."""
-    before, is_last = selected(key, tie)
-    chosen = before | (is_last & (2 * F.col("part") >= F.col("last_size")))
-    return F.when(size > 0, F.col("epochs") + chosen.cast("long")).otherwise(F.lit(0).cast("long"))
+    last_key, last_mark: the last rows taken; there are ties equal ones, and room words are left for them.
+    """
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    goal = target.withColumn("epochs", whole).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    rows = sized.where("size > 0").select("source", "size", "key", "mark", F.least(1 - F.exp(-F.col("key")), F.lit(1 - 2.0**-53)).alias("at"))
+    edge = goal.where("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("base"))
+    cell = lambda level: F.floor(F.col("r.at") * float(CELLS**level)).cast("long")
+    inside = lambda level: rows.alias("r").join(edge.alias("e"), F.expr("r.source <=> e.source") & (cell(level) == F.col("e.cell")))
+    ordered = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, 0)
+    for level in range(LEVELS):
+        mass = inside(level).groupBy("r.source", cell(level + 1).alias("cell"), "e.rest", "e.base").agg(F.sum("r.size").alias("mass"))
+        mass = mass.withColumn("base", F.col("base") + F.sum("mass").over(ordered.orderBy("cell")) - F.col("mass"))
+        edge = mass.where("rest > base and rest <= base + mass").select("source", "rest", "cell", "base")
+    tied = inside(LEVELS).groupBy("r.source", "r.key", "r.mark", "e.rest", "e.base").agg(F.sum("r.size").alias("mass"), F.count("*").alias("ties"))
+    before = F.col("base") + F.sum("mass").over(ordered.orderBy("key", "mark")) - F.col("mass")
+    last = tied.withColumn("before", before).where("rest > before and rest <= before + mass").alias("t")
+    return goal.alias("g").join(last, F.expr("g.source <=> t.source"), "left").select(
+        "g.source", "g.source_size", "g.target", "g.epochs", F.col("t.key").alias("last_key"), F.col("t.mark").alias("last_mark"),
+        "t.ties", F.floor(F.col("t.rest") - F.col("t.before")).alias("room"),
+    )
+
+
+def placed(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """Of rows (row, source, size, key, mark): row, size, the thresholds e of its source, is it before the last rows taken, its rank among them.
+
+    Where these are single rows, as they are unless ids repeat or are null, there is nothing to order. Else they are staged with the
+    number of the task that wrote them; ranks are those within a task's rows after the counts of the tasks before.
+    """
+    both = rows.alias("d").join(edge.alias("e"), F.expr("d.source <=> e.source"))
+    same = F.col("d.key") == F.col("e.last_key")
+    before = (F.col("d.key") < F.col("e.last_key")) | (same & (F.col("d.mark") < F.col("e.last_mark")))
+    false = F.lit(False)
+    both = both.select("d.row", "d.size", F.struct("e.*").alias("e"), F.coalesce(before, false).alias("before"), F.coalesce(same & (F.col("d.mark") == F.col("e.last_mark")), false).alias("among"))
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    if edge.where("ties > 1").isEmpty():
+        return both.withColumn("rank", F.when(F.col("among"), one).otherwise(none)).drop("among")
+    tied = staged(both.where("among").withColumn("task", F.spark_partition_id()), "mix-ties")
+    per = tied.groupBy(F.col("e.source").alias("source"), "task").agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    per = per.select("source", "task", earlier.alias("earlier")).alias("p")
+    here = F.row_number().over(Window.partitionBy("e.source", "task").orderBy(one)).cast("long")
+    tied = tied.withColumn("here", here).alias("t").join(per, F.expr("t.e.source <=> p.source and t.task = p.task"))
+    rest = both.where("not among").select("row", "size", "e", "before", none.alias("rank"))
+    return rest.unionByName(tied.select("t.row", "t.size", "t.e", "t.before", (F.col("t.here") + F.col("p.earlier")).alias("rank")))
+
+
+def words_taken() -> Column:
+    """Words taken of a row of placed(): whole epochs, then all of it, or of the last ones what the budget leaves."""
+    size = F.col("size")
+    left = F.least(size, F.greatest(F.lit(0).cast("long"), F.col("e.room") - (F.col("rank") - 1) * size))
+    return size * F.col("e.epochs") + F.when(F.col("before"), size).when(F.col("rank").isNotNull(), left).otherwise(F.lit(0).cast("long"))
+
+
+def copies() -> Column:
+    """Whole copies of a row of placed(): one of the last ones counts if at least half of it is in the budget."""
+    fits = F.coalesce(2 * (F.col("e.room") - (F.col("rank") - 1) * F.col("size")) >= F.col("size"), F.lit(False))
+    return F.when(F.col("size") > 0, F.col("e.epochs") + (F.col("before") | fits).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, key of each document; thresholds of each source), both staged."""
+    """(doc_id, source, size, mark, key of each document; thresholds of each source), both staged."""
     sized = staged(keyed(docs, seed), "mix-sized")
     return sized, staged(thresholds(sized, targets(sized, weights, share, limit)), "mix-edge")
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = SEED, **params) -> DataFrame:
     """docs, each row as often as the mix takes it (0 to limit times); all columns stay.
 
     The thresholds are one row a source; Spark broadcasts them while they are under its size threshold
     and joins by shuffle beyond it. The texts themselves are never sorted.
     """
-    _, edge = mix(docs, **params)
-    seed, names = params.get("seed", SEED), docs.columns
-    # Size and key are columns of their own and nothing filters on them, so that each is computed once a row.
-    key = (-F.ln(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_mix_key")
-    d, e = docs.select(*names, word_count(F.col("text")).alias("_mix_size"), key).alias("d"), edge.alias("e")
-    both = d.join(e, F.expr("d.source <=> e.source"))
-    n = copies(F.col("d._mix_key"), F.col("d.doc_id"), F.col("d._mix_size")).cast("int")
-    return both.select("d.*", F.explode(F.array_repeat(F.lit(1), n)).alias("_mix_copy")).select(*names)
+    _, edge = mix(docs, seed=seed, **params)
+    # Size, mark and key are columns below the join and nothing filters on them, so that each is computed once a row.
+    rows = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), digest(F.col("doc_id"), F.col("text"), seed).alias("mark"), quality_weight(F.col("text")).alias("w"))
+    rows = rows.select("row", "source", "size", "mark", key_of(F.col("mark"), F.col("w")).alias("key"))
+    out = placed(rows, edge).select("row", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, edge = mix(read(spark, sf_dir, "documents"))
-    s, e = sized.alias("s"), edge.alias("e")
-    return s.join(e, F.expr("s.source <=> e.source")).select(
-        "s.doc_id",
-        "s.size",
-        "e.source_size",
-        "e.target",
-        words_taken(F.col("s.key"), F.col("s.doc_id"), F.col("s.size")).alias("taken"),
-    )
+    rows = placed(sized.select(F.col("doc_id").alias("row"), "source", "size", "key", "mark"), edge)
+    return rows.select(F.col("row").alias("doc_id"), "size", "e.source_size", "e.target", words_taken().alias("taken"))
 
 
 #: The same mix by plain windows over whole sources.
 ORACLE = f"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-    -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint + 0.5) / 281474976710656.0::double)
+    md5('{SEED}:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as mark,
+    -ln((('0x' || substr(mark, 1, 12))::bigint + 0.5) / 281474976710656.0::double)
       / coalesce(1 - 0.5 * least(1.0::double, 5 * (length(text) - length(translate(text, '{NOISE}', '')))::double / greatest(length(text), 1)), 1.0) as key
   from documents),
 p as (select source, sum(size)::bigint as source_size,
@@ -190,7 +194,7 @@ t as (select source, source_size, case when filled then cap else round((budget -
 g as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
 x as (select d.doc_id, d.size, g.source_size, g.target, g.epochs,
     g.target - g.epochs * g.source_size
-      - (sum(d.size) over (partition by d.source order by d.key, d.doc_id rows between unbounded preceding and current row) - d.size) as room
+      - (sum(d.size) over (partition by d.source order by d.key, d.mark rows between unbounded preceding and current row) - d.size) as room
   from d join g on d.source is not distinct from g.source)
 select doc_id, size, source_size, target, (size * epochs + greatest(0, least(size, floor(room)::bigint)))::bigint as taken from x
 """

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from eventledger.llm import mixing
 
@@ -51,14 +52,41 @@ def test_targets_takes_and_reruns(spark, tmp_path):
         assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - t) <= 1
 
 
-def test_repeated_rows_ties_and_empty_tables(spark, tmp_path):
+def test_repeated_and_null_ids_meet_the_target(spark, tmp_path):
+    """The budget of a source ends among equal rows, and it is met all the same; which of them are taken is no matter."""
+    rows = [(None, "w " * 8, "null") for _ in range(1500)] + [(7, "v " * 5, "one") for _ in range(1000)] + [(i, "u " * (i % 40), "many") for i in range(100, 3000)]
+    rows += [(None, f"t{i} t", "other") for i in range(500)] + [(5, "a b", "two"), (5, "a b c d", "two")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op10_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.op10_mixing(spark, str(tmp_path)).collect()))
+    by = {}
+    for r in got:
+        by.setdefault((r.source_size, r.target), []).append(r)
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(by) == 5
+    for (_, target), mine in by.items():
+        assert abs(sum(r.taken for r in mine) - target) <= 1
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, size, source_size, round(target, 3), taken from ({mixing.ORACLE})").fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.source_size, round(r.target, 3), r.taken)) for r in got)
+    words = lambda t: len(t.split())
+    whole = mixing.mixed_documents(frame).groupBy("source").agg({"text": "collect_list"}).collect()
+    for source, texts in whole:
+        target = next(t for (n, t), mine in by.items() if n == sum(words(x) for _, x, s in rows if s == source))
+        assert abs(sum(map(words, texts)) - target) <= 40
+
+
+def test_empty_tables_and_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (1, "a b", "s"), (None, "c", "s"), (2, "d e", None)], "doc_id long, text string, source string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = rows_of(mixing.op10_mixing(spark, str(tmp_path)))
-    assert len(got) == 4 and got[0].taken == got[1].taken
-    empty = docs.limit(0)
-    assert mixing.mixed_documents(empty).count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+    names = "epochs bucket last_key last_mark rest ties room size key mark row e rank before among task here w _mix_size".split()
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = mixing.mixed_documents(wide)
+    assert out.columns == wide.columns and out.count() > 0
+    assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
 
 
 def test_pipeline_form_repeats_whole_documents(spark, sf):
