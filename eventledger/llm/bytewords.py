@@ -1,7 +1,8 @@
 """Words of many texts at once, over their UTF-8 bytes in numpy; no Python object per word.
 
 Both word classes of the operators split at single ASCII bytes only, so bytes give the same words as
-code points. A-Z count as a-z. A word's hash is a polynomial over per-byte random 64-bit values, then mixed.
+code points. A-Z count as a-z. A word's hash is a sum of random 64-bit values, one for each byte and its place in the word, then
+mixed: unlike a polynomial it has no words that collide whatever the random values, such as those of Thue and Morse.
 """
 
 from __future__ import annotations
@@ -24,24 +25,17 @@ NON_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
-_VALUES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64)[_FOLD]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables = {"n": 0}
+#: Places that have random values of their own; those of later ones are mixed from these.
+PLACES = 64
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _tables["n"] < n:
-        size = max(n, GROUP_BYTES)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps)
-        _tables["n"] = size
-    up, down = _tables["up"][:n], _tables["down"][:n]
-    if n > 8 * GROUP_BYTES:  # don't keep the tables of one huge text
-        _tables.update(n=0, up=None, down=None)
-    return up, down
+def random_values(seed: int, fold: bool) -> np.ndarray:
+    """A random value for each place and byte."""
+    values = np.random.default_rng(seed).integers(1, 1 << 63, (PLACES, 256), dtype=np.uint64)
+    return (values[:, _FOLD] if fold else values).ravel()
+
+
+_VALUES = random_values(20240131, True)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,12 +47,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hashes of ranges of bytes, given a random 64-bit value for each byte."""
-    up, down = _powers(len(data))
+def value_sums(data: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values before each byte; a byte's place counts from the last of starts before it."""
+    place = np.arange(len(data))
+    if len(starts):
+        place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
+    each = values[((place & (PLACES - 1)) << 8) | data]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        each[far] = mixed(each[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * up, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    np.cumsum(each, out=sums[1:])
+    return sums
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes, in order and apart."""
+    sums = value_sums(data, starts, values)
+    return mixed(sums[ends] - sums[starts])
 
 
 @dataclass
@@ -70,14 +76,13 @@ class Words:
     ends: np.ndarray
     bounds: np.ndarray
     sums: np.ndarray
-    down: np.ndarray
 
     def prefixes(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of each word; of a shorter word, 0."""
         long_enough = self.ends - self.starts >= n
         at = self.starts[long_enough]
         out = np.zeros(len(self.starts), dtype=np.uint64)
-        out[long_enough] = mixed((self.sums[at + n] - self.sums[at]) * self.down[at])
+        out[long_enough] = mixed(self.sums[at + n] - self.sums[at])
         return out
 
     def owner(self) -> np.ndarray:
@@ -90,7 +95,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     if not n:
         none = np.zeros(0, dtype=np.int64)
         empty = none.astype(np.uint64)
-        return Words(empty, none, none, np.zeros(len(offsets), dtype=np.int64), empty, empty)
+        return Words(empty, none, none, np.zeros(len(offsets), dtype=np.int64), empty)
     inside = kind[data]
     before = np.zeros(n, dtype=bool)
     before[1:] = inside[:-1]
@@ -100,11 +105,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     after[:-1] = inside[1:]
     after[cuts - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * up, out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), sums, down)
+    sums = value_sums(data, starts, _VALUES)
+    return Words(mixed(sums[ends] - sums[starts]), starts, ends, np.searchsorted(starts, offsets), sums)
 
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -1,18 +1,18 @@
 """Token ids in binary blocks: one concatenated id array and Elias-Fano document boundaries.
 
-Documents are dealt by ranges of doc_id and sorted within them; each task encodes its range and cuts it into
-blocks of some million ids. A block holds a header, its documents' ids, their Elias-Fano ends and the token ids,
+Documents are dealt by ranges of doc_id and text hash and sorted within them; each task encodes its range and cuts it into
+blocks of some million ids. A block holds a header, its documents' ids and ends, both Elias-Fano encoded, and the token ids,
 16 bits each where the vocabulary allows. Blocks are binary rows of Parquet files that Spark writes and commits, so
 that any store and lost tasks are no matter. Offsets over all files are the sum of the shards before, the
 block's base within its shard, and a select in the block.
 
 Encoding uses the tokenizers library. Byte-level pre-tokenization always cuts before a space that a non-space
 follows, so a text's ids are those of the parts between such cuts. Each worker keeps a bounded table of parts that it has
-met (a 64-bit hash with the part's length, and the ids) and looks up all parts of some megabytes of text at
+met (their bytes, found by hash and then compared, and the ids) and looks up all parts of some megabytes of text at
 once; only new parts are encoded. Tokenizers of another kind, and texts that hold a special token, are encoded as a whole.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows with equal doc_id follow
-each other, in order of their text's hash; an empty table gives no block. Only doc_id and text are read.
+each other, in order of their text's hash; equal rows go to one task; an empty table gives no block. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytewords import groups, mixed, range_hashes
+from .bytewords import groups, mixed, random_values, range_hashes
 from .common import read, staged, trimmed
 from .eliasfano import EliasFano
 
@@ -46,7 +47,7 @@ _PLAIN = re.compile(rf"(?:[{_LETTERS}]+|[.,;:!?%#$&*|()-]+|\n(?!\n))+\Z")
 #: Bytes that can begin a white-space character.
 _MAY_BE_SPACE = np.zeros(256, dtype=bool)
 _MAY_BE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-_VALUES = np.random.default_rng(50257).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUES = random_values(50257, False)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -56,22 +57,38 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Where the ranges of two byte arrays are equal; length holds no 0."""
+    if not len(length):
+        return np.zeros(0, dtype=bool)
+    first = np.cumsum(length) - length
+    step = np.arange(first[-1] + length[-1])
+    equal = a[step + np.repeat(a_start - first, length)] == b[step + np.repeat(b_start - first, length)]
+    return np.logical_and.reduceat(equal, first)
+
+
+class Pool:
+    """An array that grows."""
+
+    def __init__(self, kind: str):
+        self.data, self.filled = np.zeros(1 << 16, dtype=kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        if self.filled + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), dtype=self.data.dtype)])
+        self.data[self.filled : self.filled + len(values)] = values
+        self.filled += len(values)
+        return self.filled - len(values)
+
+
 class Parts:
-    """An open-addressed table from hashes to ranges of a pool of ids, filled and read in arrays."""
+    """An open-addressed table from parts of texts to ranges of a pool of ids, filled and read in arrays."""
 
     def __init__(self, kind: str, slots: int = SLOTS):
         self.slots, self.used = slots, 0
         self.keys = np.zeros(slots, dtype=np.uint64)
-        self.start = np.zeros(slots, dtype=np.int32)
-        self.length = np.zeros(slots, dtype=np.int32)
-        self.pool, self.filled = np.zeros(1 << 16, dtype=kind), 0
-
-    def add(self, ids: np.ndarray) -> int:
-        if self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=self.pool.dtype)])
-        self.pool[self.filled : self.filled + len(ids)] = ids
-        self.filled += len(ids)
-        return self.filled - len(ids)
+        self.start, self.length, self.text_start, self.text_length = (np.zeros(slots, dtype=np.int32) for _ in range(4))
+        self.ids, self.text = Pool(kind), Pool("u1")
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Slots of keys, -1 where one isn't there."""
@@ -85,17 +102,27 @@ class Parts:
             rows, at = rows[on], (at[on] + 1) & (self.slots - 1)
         return out
 
-    def insert(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+    def are(self, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where the part in slot at is the one in data, byte for byte."""
+        out = (at >= 0) & (self.text_length[at] == length)
+        rows = np.flatnonzero(out)
+        out[rows] = same_bytes(self.text.data, self.text_start[at[rows]].astype(np.int64), data, start[rows], length[rows])
+        return out
+
+    def insert(self, keys: np.ndarray, texts: list[bytes], start: np.ndarray, length: np.ndarray) -> None:
         """Distinct keys that aren't there; those beyond half of the slots are left out."""
         room = max(0, self.slots // 2 - self.used)
         keys, start, length = keys[:room], start[:room], length[:room]
         self.used += len(keys)
+        sizes = np.array([len(x) for x in texts[:room]], dtype=np.int64)
+        text = self.text.add(np.frombuffer(b"".join(texts[:room]), dtype=np.uint8)) + np.cumsum(sizes) - sizes
         rows, at = np.arange(len(keys)), (keys & np.uint64(self.slots - 1)).astype(np.int64)
         while len(rows):
             free = self.keys[at] == 0
             where, first = np.unique(at[free], return_index=True)
             who = rows[free][first]
             self.keys[where], self.start[where], self.length[where] = keys[who], start[who], length[who]
+            self.text_start[where], self.text_length[where] = text[who], sizes[who]
             placed = np.zeros(len(keys), dtype=bool)
             placed[who] = True
             on = ~placed[rows]
@@ -105,7 +132,7 @@ class Parts:
 class Encoder:
     """Ids of texts, with tables of the parts met before."""
 
-    def __init__(self, path: str, slots: int = SLOTS):
+    def __init__(self, path: str, slots: int = SLOTS, values: np.ndarray = _VALUES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -117,7 +144,7 @@ class Encoder:
         before = spec.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
         self.letters = _byte_letters()
-        self.parts = Parts(self.kind, slots)
+        self.parts, self.values = Parts(self.kind, slots), values
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -171,28 +198,39 @@ class Encoder:
         """(ids of all texts one after another, each with the end id; number of ids of each text)."""
         starts = self._starts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys = mixed(range_hashes(data, starts, ends, _VALUES) + (ends - starts).astype(np.uint64)) | np.uint64(1)
-        at = self.parts.find(keys)
-        missing = np.flatnonzero(at < 0)
+        size, parts = ends - starts, self.parts
+        keys = mixed(range_hashes(data, starts, ends, self.values) + size.astype(np.uint64)) | np.uint64(1)
+        at = parts.find(keys)
+        known = parts.are(at, data, starts, size)
+        # Of new parts with one hash the first is encoded for all that have its bytes, any others by themselves.
+        missing = np.flatnonzero(~known)
         new, one, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-        raw = data.tobytes() if len(new) else b""
-        ids = self._new([raw[starts[i] : ends[i]].decode() for i in missing[one]])
+        first = missing[one][back.ravel()]
+        alike = size[first] == size[missing]
+        alike[alike] = same_bytes(data, starts[first[alike]], data, starts[missing[alike]], size[missing[alike]])
+        rows = np.concatenate([missing[one], missing[~alike]])
+        back = back.ravel()
+        back[~alike] = len(one) + np.arange(len(rows) - len(one))
+        raw = data.tobytes() if len(rows) else b""
+        texts = [raw[starts[i] : ends[i]] for i in rows]
+        ids = self._new([t.decode() for t in texts])
         sizes = np.array([len(x) // self.width for x in ids], dtype=np.int64)
-        kept = self.parts.filled
-        place = self.parts.add(np.frombuffer(b"".join(ids), dtype=self.kind)) + np.cumsum(sizes) - sizes
-        final = self.parts.add(np.array([end], dtype=self.kind))
-        start, length = self.parts.start[at].astype(np.int64), self.parts.length[at].astype(np.int64)
-        start[missing], length[missing] = place[back.ravel()], sizes[back.ravel()]
+        kept = parts.ids.filled
+        place = parts.ids.add(np.frombuffer(b"".join(ids), dtype=self.kind)) + np.cumsum(sizes) - sizes
+        final = parts.ids.add(np.array([end], dtype=self.kind))
+        start, length = parts.start[at].astype(np.int64), parts.length[at].astype(np.int64)
+        start[missing], length[missing] = place[back], sizes[back]
         last = np.searchsorted(starts, offsets[1:], side="left")
         start, length = np.insert(start, last, final), np.insert(length, last, 1)
         total = np.cumsum(length)
-        out = self.parts.pool[np.repeat(start - total + length, length) + np.arange(total[-1] if len(total) else 0)]
+        out = parts.ids.data[np.repeat(start - total + length, length) + np.arange(total[-1] if len(total) else 0)]
         counts = np.diff(np.concatenate([[0], total[last + np.arange(len(last))]]))
-        used = self.parts.used
-        self.parts.insert(new, place, sizes)
-        if self.parts.used - used < len(new):  # keep no ids of parts that found no room
-            n = self.parts.used - used
-            self.parts.filled = kept + int(sizes[:n].sum())
+        # Keep the ids of parts that found room in the table; a hash that is taken keeps its part.
+        fresh = np.flatnonzero(at[missing[one]] < 0)[: max(0, parts.slots // 2 - parts.used)]
+        held = b"".join([ids[i] for i in fresh])
+        parts.ids.filled = kept
+        place = parts.ids.add(np.frombuffer(held, dtype=self.kind)) + np.cumsum(sizes[fresh]) - sizes[fresh]
+        parts.insert(new[fresh], [texts[i] for i in fresh], place, sizes[fresh])
         return out, counts
 
 
@@ -206,25 +244,48 @@ def encoder(path: str) -> Encoder:
 
 
 def write_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """doc_ids: None or a whole number each; counts: ids of each document, end included."""
+    """doc_ids: None, as often as there is, then whole numbers in order; counts: ids of each document, end included."""
+    known = np.array([d for d in doc_ids if d is not None], dtype=np.int64)
+    nulls, least = len(doc_ids) - len(known), int(known[0]) if len(known) else 0
+    numbers = EliasFano.of((known - np.int64(least)).view(np.uint64)).to_bytes()  # a difference of 64-bit numbers is right modulo 2**64
     ends = EliasFano.of(np.cumsum(counts)).to_bytes()
-    known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
-    numbers = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    return b"".join([MAGIC, struct.pack("<BQQ", ids.dtype.itemsize, len(doc_ids), len(ends)), np.packbits(known).tobytes(), numbers.tobytes(), ends, ids.tobytes()])
+    return b"".join([MAGIC, struct.pack("<BQq", ids.dtype.itemsize, nulls, least), numbers, ends, ids.tobytes()])
 
 
-def read_block(block: bytes) -> tuple[list, EliasFano, np.ndarray]:
-    """(doc_ids, ends, token ids)."""
+@dataclass
+class Block:
+    """A block as read: documents by place, their boundaries by select."""
+
+    nulls: int
+    least: int
+    numbers: EliasFano
+    ends: EliasFano
+    ids: np.ndarray
+
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def doc_ids(self, places: np.ndarray) -> pa.Array:
+        known = places >= self.nulls
+        out = np.zeros(len(places), dtype=np.int64)
+        out[known] = (self.numbers.select(places[known] - self.nulls) + np.array(self.least).astype(np.uint64)).view(np.int64)
+        return pa.array(out, mask=~known)
+
+    def bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of documents start and end."""
+        start = np.zeros(len(places), dtype=np.int64)
+        later = places > 0
+        start[later] = self.ends.select(places[later] - 1)
+        return start, self.ends.select(places).astype(np.int64)
+
+
+def read_block(block: bytes) -> Block:
     if block[:4] != MAGIC:
         raise ValueError("not a token block")
-    width, n, size = struct.unpack_from("<BQQ", block, 4)
-    at = 4 + struct.calcsize("<BQQ")
-    known = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8), at))[:n]
-    at += -(-n // 8)
-    numbers = np.frombuffer(block, "<i8", n, at)
-    at += 8 * n
-    ends = EliasFano.from_bytes(block[at : at + size])
-    return [int(x) if k else None for x, k in zip(numbers, known)], ends, np.frombuffer(block, f"<u{width}", offset=at + size)
+    width, nulls, least = struct.unpack_from("<BQq", block, 4)
+    numbers, at = EliasFano.from_bytes(block, 4 + struct.calcsize("<BQq"))
+    ends, at = EliasFano.from_bytes(block, at)
+    return Block(nulls, least, numbers, ends, np.frombuffer(block, f"<u{width}", offset=at))
 
 
 _BLOCKS = "shard int, block int, base long, n_ids long, data binary"
@@ -264,20 +325,22 @@ def _written(path: str, end: int):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for before, data in zip(batch.column("before").to_pylist(), batch.column("data")):
-            docs, ends, ids = read_block(data.as_py())
-            ends = ends.all()
-            starts = np.concatenate([[0], ends[:-1]])
-            wide = ids.astype("<u4")
-            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            arrays = [pa.array(docs, pa.int64()), pa.array(starts + before), pa.array(ends - starts), pa.array(crc, pa.int64())]
+            block = read_block(data.as_py())
+            places = np.arange(len(block))
+            start, end = block.bounds(places)
+            crc = [zlib.crc32(block.ids[a:b].astype("<u4")) for a, b in zip(start.tolist(), end.tolist())]
+            arrays = [block.doc_ids(places), pa.array(start + before), pa.array(end - start), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """Encode docs and write their blocks: the staged table of blocks."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+def write(docs: DataFrame, tokenizer: str, end: int = END, shards: int | None = None) -> DataFrame:
+    """Encode docs and write their blocks: the staged table of blocks, from as many tasks as shards (spark.sql.shuffle.partitions by default).
+
+    A task holds one block at a time, however large its share of docs is.
+    """
+    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    dealt = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     return staged(dealt.mapInArrow(_written(tokenizer, end), _BLOCKS), "tokens")
 
 
