@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .poll import FORMATS, SINKS, SOURCES, config_field
 
 #: Surfaces that were once supported and are now rejected by name.
@@ -160,16 +161,18 @@ def runtime_status_merge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """(src, dst) of all paths, by a recursive query that stops when nothing new is found."""
-    edges.createOrReplaceTempView("_ledger_edges")
-    return edges.sparkSession.sql(
-        """with recursive walk(src, dst, depth) as (
-             select upstream, downstream, 1 from _ledger_edges
-             union all
-             select w.src, e.downstream, w.depth + 1 from walk w join _ledger_edges e on w.dst = e.upstream
-             where w.depth < 20 and w.src <> w.dst)
-           select distinct src, dst from walk"""
-    )
+    """(src, dst) of all paths: known pairs are joined with themselves until nothing new is found, however long a path is.
+
+    Each round doubles the length of the paths known, and reads what the round before wrote. The graph has an edge for each declared
+    dependency between outboxes, so its pairs are the square of a catalog's names at most.
+    """
+    now = staged(edges.select(F.col("upstream").alias("src"), F.col("downstream").alias("dst")).distinct(), "paths")
+    n, before = now.count(), -1
+    while n > before:
+        longer = now.alias("a").join(now.alias("b"), F.expr("a.dst = b.src and a.src <> a.dst")).select("a.src", "b.dst")
+        now = staged(now.unionByName(longer).distinct(), "paths")
+        n, before = now.count(), n
+    return now
 
 
 def dag_cycle(edges: DataFrame) -> DataFrame:
@@ -229,10 +232,10 @@ def fanin_participants(fan_in: DataFrame) -> DataFrame:
     return fan_in.select("name", F.explode(F.split("members", ",")).alias("outbox_name"))
 
 
-def doctor_checks(cleanup: DataFrame, dlq: DataFrame, as_of: Column) -> DataFrame:
-    """Outboxes not swept for a day, dead letters of the last hour before as_of's last failure, as one row."""
+def doctor_checks(cleanup: DataFrame, dlq: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """Outboxes not swept for a day, dead letters first failed in the last hours before as_of, as one row."""
     stale = cleanup.agg(F.count_if(F.col("age") > 1440).alias("stale_cleanup"))
-    last = dlq.agg(F.count_if(F.col("first_failed_at") >= as_of - F.expr("interval 72 hours")).alias("recent_dlq"))
+    last = dlq.agg(F.count_if(F.col("first_failed_at") >= as_of - F.make_dt_interval(hours=F.lit(hours))).alias("recent_dlq"))
     return stale.crossJoin(last)
 
 

@@ -52,12 +52,12 @@ def alerts_firing(events: DataFrame, threshold: float, least_hours: int) -> Data
 
 
 def latency_percentiles(events: DataFrame, shares=(0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest rank at round((n - 1) * p)."""
+    """Nearest rank at round((n - 1) * p), over counts of distinct values."""
     w = Window.partitionBy("event_type")
-    rank = F.row_number().over(w.orderBy("value", "event_id")) - 1
-    rows = events.select("event_type", "value", rank.alias("rank"), F.count("*").over(w).alias("n"))
-    per = lambda p: F.max(F.when(F.col("rank") == F.floor((F.col("n") - 1) * p + 0.5), F.col("value"))).alias(f"p{round(p * 100)}")
-    return rows.groupBy("event_type").agg(*[per(p) for p in shares])
+    per = events.groupBy("event_type", "value").agg(F.count("*").alias("n"))
+    rows = per.select("event_type", "value", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("all"))
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("all") - 1) * p + 0.5), F.col("value"))).alias(f"p{round(p * 100)}")
+    return rows.groupBy("event_type").agg(*[at(p) for p in shares])
 
 
 def budget_regression(samples: DataFrame, budgets: DataFrame) -> DataFrame:

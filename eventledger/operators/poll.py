@@ -23,23 +23,36 @@ def config_field(path: str) -> Column:
     return F.get_json_object("config", f"$.{path}")
 
 
+#: Rows of a catalog table that go to every task; a larger one is joined by shuffle.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def pipeline_poll_batches(messages: DataFrame, pipelines: DataFrame, offsets: DataFrame, group: str = "default") -> DataFrame:
-    """The next batch of every enabled pipeline from its own offset; Spark limits each pipeline before the shuffle."""
+    """The next batch of every enabled pipeline from its own offset.
+
+    The largest configured batch is a constant of the plan, so Spark limits each pipeline to it before the shuffle.
+    """
     p = pipelines.where("enabled").select(F.col("name").alias("pipeline_id"), config_field("source.outbox").alias("outbox_name"), config_field("batch_size").cast("int").alias("batch"))
     o = offsets.where(F.col("relay_group_id") == group).select("pipeline_id", "last_change_id")
     ready = p.join(o, "pipeline_id", "left").withColumn("after", F.coalesce("last_change_id", F.lit(0)))
-    rows = messages.select("id", "outbox_name", "payload").join(F.broadcast(ready), "outbox_name").where("id > after")
+    rows = messages.select("id", "outbox_name").join(few(ready), "outbox_name").where("id > after")
     rank = F.row_number().over(Window.partitionBy("pipeline_id").orderBy("id"))
-    # No batch is larger than a million; a constant bound lets Spark limit each pipeline before the shuffle.
-    return rows.withColumn("rank", rank).where("rank <= 1000000").where("rank <= batch").select("pipeline_id", "id", F.col("rank").cast("long").alias("position"))
+    largest = p.agg(F.max("batch")).first()[0] or 0
+    return rows.withColumn("rank", rank).where(F.col("rank") <= largest).where("rank <= batch").select("pipeline_id", "id", F.col("rank").cast("long").alias("position"))
 
 
 def group_poll(messages: DataFrame, groups: DataFrame, offsets: DataFrame, leases: DataFrame, as_of: Column, batch: int) -> DataFrame:
     """Next messages of each group member: after its offset, outside ranges that other members lease. Our own definition."""
     members = offsets.join(groups.select("group_name", "outbox_name"), "group_name").select("group_name", "consumer_name", "outbox_name", "committed_offset")
-    rows = messages.select("id", "outbox_name").join(F.broadcast(members), "outbox_name").where("id > committed_offset")
-    live = leases.where(F.col("expires_at") > as_of).select("group_name", F.col("consumer_name").alias("holder"), "lease_start", "lease_end")
-    free = rows.join(F.broadcast(live), ["group_name"], "left").where("holder is null or holder = consumer_name or not id between lease_start and lease_end")
+    rows = messages.select("id", "outbox_name").join(few(members), "outbox_name").where("id > committed_offset").alias("m")
+    live = few(leases.where(F.col("expires_at") > as_of).select("group_name", "consumer_name", "lease_start", "lease_end")).alias("l")
+    held = F.expr("m.group_name = l.group_name and m.consumer_name <> l.consumer_name and m.id between l.lease_start and l.lease_end")
+    free = rows.join(live, held, "left_anti")
     rank = F.row_number().over(Window.partitionBy("group_name", "consumer_name").orderBy("id"))
     return free.withColumn("rank", rank).where(F.col("rank") <= batch).select("group_name", "consumer_name", "id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import json
 import math
 import re
@@ -39,6 +41,41 @@ def _kinds(row, skip=()) -> str:
     return ", ".join("(" + ", ".join(_value(x) for x in row(k)) + ")" for k in KINDS if k not in skip)
 
 
+#: Signatures of the literal bodies by the standard library, under the secret of the fixtures.
+_SIGNATURES = ", ".join(f"({pos}, 'sha256={hmac.new(b'a signing secret of the fixtures', body.encode(), hashlib.sha256).hexdigest()}')" for pos, body in LITERALS["signed"][1])
+
+#: What is to be said of each literal address.
+_HOOK_VERDICTS = ", ".join(
+    f"({_value(u)}, '{v}')"
+    for v, urls in {
+        "private": """https://127.0.0.1/x https://169.254.169.254/latest https://10.1.2.3/ https://172.20.0.1/ https://192.168.0.9/ https://0.0.0.0/ https://[::1]/ https://[::]/
+            https://[fd00::1]:8443/ https://[FE80::1]/ https://[ff02::1]/ https://[::ffff:127.0.0.1]/ https://[::ffff:a00:1]/ https://[2001:db8::5]/ https://100.64.0.1/ https://198.18.0.1/
+            https://198.51.100.7/ https://192.0.2.9/ https://203.0.113.1/ https://192.88.99.1/ https://239.1.1.1/""".split(),
+        "ok": "https://172.32.0.1/ https://8.8.8.8:443/x https://[::ffff:8.8.8.8]/ https://[2606:4700::1111]/ https://[1:2:3:4:5:6:7:8]/ https://100.128.0.1/ HTTPS://Example.org./x".split(),
+        "scheme": "http://example.org/ ftp://example.org/".split(),
+        "userinfo": "https://user@example.org/ https://user:pw@10.0.0.1/".split(),
+        "fragment": ["https://example.org/#f"],
+        "forbidden": "https://localhost/a https://metadata.google.internal/ https://localhost./ https://LOCALHOST:8443/ https://ip6-loopback/ https://metadata.azure.com./ https://instance-data.ec2.internal/".split(),
+        "host": ["https://", "https://[fe80::1%25eth0]/", "https://[1:2]/", "https://[::1/", "https://127.1/", "https://0x7f000001/", "https://2130706433/", "https://1.2.3.999/", "https://example.org:bad/", None],
+    }.items()
+    for u in urls
+)
+
+#: Facts after each literal delivery: state, checkpoint, frontier, visible, duplicate possible, cleanup allowed, transient, refused, events.
+_FACTS = [
+    ("success", "cleanup_eligible", 7, 7, False, False, True, False, None, 5),
+    ("ambiguous", "sink_accepted", 3, None, True, True, False, False, None, 3),
+    ("accepted", "checkpoint_committed", 4, 4, False, True, False, False, None, 5),
+    ("dry_run", "checkpoint_committed", 11, None, False, False, False, False, None, 3),
+    ("filtered", "checkpoint_committed", 11, None, False, False, False, False, None, 3),
+    ("dead", "checkpoint_committed", 13, None, False, False, False, False, None, 5),
+    ("retry", "publish_failed", 17, None, True, False, False, True, None, 3),
+    ("too_early", "publish_failed", 17, None, True, False, False, True, "checkpoint_committed", 5),
+    ("illegal", "polled", 19, None, True, False, False, False, "checkpoint_committed", 1),
+    ("other_frontier", "publish_started", 5, None, True, False, False, False, "sink_acknowledged", 4),
+    ("next", "polled", 29, None, True, False, False, False, None, 6),
+]
+
 CTES = {
     "messages": """select event_id + 1 as id, event_type as outbox_name, props as payload,
         case when (event_id + 1) % 10 <> 0 then '{"event_type":"' || event_type || '.created"}' end as headers, ts::timestamp as created_at,
@@ -50,7 +87,8 @@ CTES = {
         from grps cross join (values (0), (1)) as m(c) join tops using (outbox_name) where group_name <> 'signup-g1'""",
     "leases": f"""select group_name, consumer_name, committed_offset + 1 as lease_start, committed_offset + 100 as lease_end,
         case when group_name = 'click-g0' then {NOW} + interval 5 minute else {NOW} - interval 5 minute end as expires_at
-        from offsets where (group_name, consumer_name) in (('click-g0', 'c0'), ('error-g0', 'c1'))""",
+        from offsets where (group_name, consumer_name) in (('click-g0', 'c0'), ('error-g0', 'c1'))
+        union all select group_name, c, committed_offset + 1 + a, committed_offset + 1 + b, {NOW} + interval 5 minute from offsets, (values ('c8', 30, 60), ('c9', 75, 90)) as v(c, a, b) where group_name = 'click-g0' and consumer_name = 'c0'""",
     "pipelines": f"select *, config->>'$.source.outbox' as outbox, config->>'$.source_type' as source_type, config->>'$.sink_type' as sink_type from (values {', '.join(map(_pipeline, PIPELINES))}) as v(name, enabled, config, tenant_name, owner, wire_format)",
     "relay_offsets": f"""select g as relay_group_id, o || '-p' as pipeline_id, o as outbox_name, floor(mx * r / 10.0)::bigint as last_change_id, {NOW} - to_minutes(n) as updated_at
         from (values ('default', 'click', 6, 0), ('default', 'error', 5, 1), ('default', 'purchase', 9, 7), ('blue', 'click', 4, 90)) as v(g, o, r, n) join tops on o = outbox_name""",
@@ -140,11 +178,9 @@ _BODIES = {
     "trigger_policy_valid": "select policy, policy in ('always', 'on_idle') or regexp_full_match(policy, 'on_offset_gte\\([0-9]+\\)') as valid from policies",
     "identifier_valid": "select name, strlen(name) between 1 and 63 and not contains(name, '\"') as valid from identifiers",
     "subject_valid": "select subject, regexp_full_match(subject, '([^.*>]+|\\*)(\\.([^.*>]+|\\*))*(\\.>)?|>') as valid from subjects",
-    "url_guard": """select url, verdict, count(*) as n from (select url, case when not starts_with(url, 'https://') then 'scheme' when regexp_extract(url, '^https://([^/?#]*)', 1) = '' then 'host'
-        when contains(regexp_extract(url, '^https://([^/?#]*)', 1), '@') then 'userinfo' when contains(url, '#') then 'fragment'
-        when regexp_matches(url, '^https://(localhost|metadata\\.google\\.internal|metadata|169\\.254\\.169\\.254)(:[0-9]+)?([/?#]|$)') then 'forbidden'
-        when regexp_matches(url, '^https://(0|10|127)(\\.[0-9]+){3}(:[0-9]+)?([/?#]|$)') or regexp_matches(url, '^https://(192\\.168|169\\.254|172\\.(1[6-9]|2[0-9]|3[01]))(\\.[0-9]+){2}([:/?#]|$)') then 'private' else 'ok' end as verdict
-        from (select url from pages union all select url from hook_urls)) group by 1, 2""",
+    # Verdicts on the literal addresses as the rules say them, one by one; page addresses are plain names.
+    "url_guard": f"""select url, coalesce(v, case when not starts_with(url, 'https://') then 'scheme' when contains(url, '#') then 'fragment' else 'ok' end) as verdict, count(*) as n
+        from (select url from pages union all select url from hook_urls) left join (values {_HOOK_VERDICTS}) as k(u, v) on url is not distinct from u group by 1, 2""",
     "tenant_visible": "select distinct g.role, p.name from principals g join pipelines p on g.admin or exists (select 1 from tenant_grants t where t.role = g.role and t.tenant_name = p.tenant_name)",
     "owner_visible": "select name, owner from pipelines where owner = 'ada'",
     "id_gap_lag": "select group_name, consumer_name, outbox_name, committed_offset, mx - committed_offset as lag from grps join offsets using (group_name) join tops using (outbox_name)",
@@ -252,10 +288,46 @@ _BODIES = {
     "backfill_progress": """select name, status, case when rows_total > 0 then round(100.0::double * rows_processed / rows_total, 2) end as pct_complete,
         case when status = 'running' and rows_total > 0 then round((rows_total - rows_processed) / greatest(rows_processed::double / nullif(age_s, 0), 0.001), 6) end as eta_s from backfills""",
     "date_partition_bounds": "select 'p' || strftime(f, '%Y%m%d') as name, f as from_ts, f + interval 7 day as to_ts, n from (select date_trunc('week', created_at)::timestamp as f, count(*) as n from messages group by 1)",
-    "delivery_fsm": "select message, max(case message when 'bad' then 'illegal' else 'done' end) as state, count(*) as n_events from fsm_events group by 1",
-    "publish_directive": """select pos, case when outcome = 'success' then 'checkpoint' when outcome = 'breaker_open' then 'backoff' when error_code in ('decode', 'sink_permanent') or attempts > max_retries
-        then case when dlq then 'dead_letter' else 'stop' end else 'backoff' end as directive from outcomes""",
-    "error_class": """select code, case when code in ('config', 'decode', 'encode', 'sink_permanent', 'inbox_permanent', 'payload_too_large', 'auth') then 'permanent' when code = 'other' then 'unknown' else 'transient' end as cls from error_codes""",
+    "delivery_fsm": f"""select f.* from (select distinct message from fsm_events) join (values {", ".join("(" + ", ".join(map(_value, r)) + ")" for r in _FACTS)})
+        as f(message, state, checkpoint, acknowledged_frontier, source_visible, duplicate_possible, cleanup_allowed, failure_transient, refused, n_events) using (message)""",
+    "publish_directive": """select pos, case when outcome = 'success' then 'continue' when outcome = 'breaker_open' then if(dlq, 'dead_letter:sink_permanent', 'backoff')
+        when error_code in ('authentication', 'invalid_config') then if(dlq, 'dead_letter:sink_permanent', 'stop') when dlq and attempts > max_retries then 'dead_letter:max_retries_exceeded' else 'backoff' end as directive from outcomes""",
+    "error_class": "select code, if(code in ('unavailable', 'timeout', 'throttled', 'unknown', 'other'), 'transient', 'permanent') as cls from error_codes",
+    "status_code": """select status, case when status // 100 = 2 then null when status in (408, 425, 429) or status // 100 = 5 then 'throttled' when status // 100 = 3 then 'invalid_destination'
+        when status in (401, 403) then 'authentication' when status // 100 = 4 then 'protocol_rejection' else 'unknown' end as code from statuses""",
+    "outbox_lifecycle": """select req, case when action like 'create%' then case when outbox_name = '' then 'invalid_name' when strategy = 'hourly' then 'invalid_strategy' when trim(strategy, chr(39)) <> 'none' and length(outbox_name) > 35 then 'name_too_long'
+        when o is null then 'created' when action = 'create' then 'exists' else 'unchanged' end when o is null then case when action = 'drop_if_present' then 'unchanged' else 'missing' end
+        else case action when 'drop' then 'dropped' when 'enable' then 'enabled' else 'disabled' end end as verdict from outbox_requests left join (select outbox_name, 1 as o from outbox_config) using (outbox_name)""",
+    "outbox_config_next": """select outbox_name, retention_hours, coalesce((select action = 'enable' from outbox_requests r where r.outbox_name = c.outbox_name and action in ('enable', 'disable') order by req desc limit 1), enabled) as enabled
+        from outbox_config c where outbox_name <> 'signup' union all select outbox_name, retention_hours, true from outbox_requests where req in (1, 4, 6, 16)""",
+    "outbox_drop_cascade": """select 'messages' as part, count(*) as n from messages where outbox_name <> 'click' union all select 'groups', count(*) from grps where outbox_name <> 'click'
+        union all select 'offsets', count(*) from offsets where not starts_with(group_name, 'click-') union all select 'leases', count(*) from leases where not starts_with(group_name, 'click-')""",
+    "group_lifecycle": """select req, case when action like 'create%' then case when not exists (select 1 from outbox_config c where c.outbox_name = r.outbox_name) then 'no_outbox' when p then case when action = 'create' then 'exists' else 'unchanged' end
+        when reset = 'odd' then 'invalid_reset' else 'created' end when p then 'dropped' when action = 'drop' then 'missing' else 'unchanged' end as verdict from (select *, exists (select 1 from grps g where g.group_name = q.group_name) as p from group_requests q) r""",
+    "groups_next": """select group_name, outbox_name, 'earliest' as auto_offset_reset from grps where group_name <> 'error-g1' union all values ('click-new', 'click', 'latest'), ('view-new', 'view', 'none')""",
+    "publishers_next": "select outbox_name, role from publishers where (outbox_name, role) not in (('click', 'job')) union values ('view', 'eye'), ('view', 'b')",
+    "inbox_lifecycle": """select req, case when action = 'create' then case when inbox_schema = '' then 'invalid_name' when exists (select 1 from inbox_config c where c.inbox_name = r.inbox_name) then 'exists' else 'created' end
+        when exists (select 1 from inbox_config c where c.inbox_name = r.inbox_name) then 'dropped' when action = 'drop' then 'missing' else 'unchanged' end as verdict from inbox_requests r""",
+    "inbox_config_next": "select inbox_name, inbox_schema, max_retries from inbox_config where inbox_name <> 'view' union all select inbox_name, inbox_schema, max_retries from inbox_requests where req = 1",
+    "tenant_grants_next": "select tenant_name, role from tenant_grants except values ('t1', 'r1') union values ('t0', 'r2')",
+    "pipeline_tenant_next": "select name, coalesce(tenant, tenant_name) as tenant_name from pipelines left join (select name, tenant from tenant_moves where tenant <> '' qualify row_number() over (partition by name order by req desc) = 1) using (name)",
+    "pipeline_switch": """select req, r.name, case when p.name is null then 'missing' when action = 'enable' and (source_type is null or sink_type = 'redis') then 'unsupported' else action || 'd' end as verdict from switch_requests r left join pipelines p on p.name = r.name""",
+    "consumer_heartbeat": f"select group_name, consumer_name, committed_offset, coalesce({NOW} - to_minutes(m::int), last_heartbeat) as last_heartbeat from offsets left join (select group_name, consumer_name, min(minutes) as m from beats group by 1, 2) using (group_name, consumer_name)",
+    "dlq_single": f"select id, case id % 3 when 1 then false when 2 then true else resolved end as resolved, case when id % 3 = 1 then {NOW} end as retried_at from dlq",
+    "sweep_loop": f"""select outbox_name, b is not null as failed, case when b is not null then 0 else least(coalesce(n, 0), 200) end as affected_rows, case when b is not null then 0 else least(4, greatest(1, (coalesce(n, 0) + 49) // 50)) end as completed_batches,
+        b is null and coalesce(n, 0) > 200 as has_more from outbox_config left join (select m.outbox_name, count(*) as n from messages m join outbox_config c using (outbox_name) join safe s using (outbox_name)
+        where created_at < {NOW} - to_hours(c.retention_hours) and (safe_offset is null or id <= safe_offset) group by 1) using (outbox_name)
+        left join (select distinct outbox_name, true as b from leases join grps using (group_name) where expires_at > {NOW}) using (outbox_name)""",
+    "truncate_delivered": "select sum(deleted)::bigint as deleted from summary",
+    "storage_conversion": "select * from (values (1, 'converted'), (2, 'not_confirmed'), (3, 'not_allowed'), (4, 'unchanged'), (5, 'refused'), (6, 'invalid_range'), (7, 'invalid_range')) as v(req, verdict)",
+    "id_range_layout": "select id // 1000 as id_bucket, count(*) as n, min(id) as least, max(id) as most from messages group by 1",
+    "fan_in_next": "select * from (values ('all', 'click,view'), ('one', 'signup'), ('fresh', 'purchase')) as v(name, members)",
+    "backfill_cancel": """select name, case when c and status in ('pending', 'running', 'paused') then 'failed' else status end as status, case when c and status in ('pending', 'running', 'paused') then 'cancelled by operator' end as error_message
+        from (select *, name in (select name from cancels) as c from backfills)""",
+    "encryption_config_next": "select * from (values ('click', 'vault', 'k2'), ('view', 'aws', 'arn'), ('error', 'gcp', 'g2')) as v(outbox_name, kms, key_id)",
+    "secret_masking": """select pos, regexp_replace(config, '"([^"\\\\]|\\\\.)*\\$\\{(env|file):([^"\\\\]|\\\\.)*"', '"[REDACTED]"', 'g') as config from secret_configs""",
+    "webhook_signature": f"select * from (values {_SIGNATURES}) as v(pos, signature)",
+    "payload_encryption": "select id, payload, id % 2 = 0 as lost from messages",
     "tumbling_counts": "select event_type, date_trunc('hour', ts::timestamp) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "counter_rate": """select series, date_trunc('hour', minute) as start, round(sum(rise) / 3600.0, 6)::double as rate from (select series, minute, coalesce(value - lag(value) over (partition by series order by minute), 0) as rise from counter) group by 1, 2""",
     "histogram_quantile": """select grp, round(case when le = 'inf'::double then low else low + (le - low) * (0.99::double * total - prev) / greatest(n - prev, 1) end, 6) as value from (select *, coalesce(lag(le) over w, 0.0) as low, coalesce(lag(n) over w, 0) as prev,

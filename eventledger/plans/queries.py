@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import wire
-from ..operators import catalog, inbox, metrics, poll, retention
+from ..functions import secure, wire
+from ..operators import catalog, inbox, lifecycle, metrics, poll, retention
 from ..sources import tables as t
 from ..streaming import delivery
 
@@ -118,6 +118,44 @@ def _literal_expr(table, column, **exprs):
     return lambda s, d: t.literal(s, table).select(column, *[e.alias(k) for k, e in ((k, f(F.col(column))) for k, f in exprs.items())])
 
 
+#: Keys of the queries on protected payloads; real ones never stand in code.
+SIGNING, OLD_KEY, NEW_KEY = b"a signing secret of the fixtures", bytes(range(32)), bytes(range(100, 132))
+
+
+def _drop_cascade(s, d):
+    dropped = s.createDataFrame([("click",), ("gone",)], "outbox_name string")
+    parts = lifecycle.outbox_drop_cascade(dropped, _msg(s, d), t.groups(s, d), t.offsets(s, d), t.leases(s, d))
+    counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, rows in zip(("messages", "groups", "offsets", "leases"), parts)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+def _sweep_loop(s, d):
+    rows = retention.sweep_candidates(_msg(s, d), t.outbox_config(s, d), _safe(s, d), t.as_of(), SWEEP * 4)
+    return lifecycle.sweep_loop(rows, t.outbox_config(s, d), _blocked(s, d), SWEEP, 4)
+
+
+def _heartbeat(s, d):
+    beats = t.literal(s, "beats").withColumn("at", t.as_of() - F.make_dt_interval(mins="minutes"))
+    return lifecycle.heartbeat_next(t.offsets(s, d), beats)
+
+
+def _dlq_single(s, d):
+    asked = t.dlq(s, d).where("id % 3 <> 0").select(F.col("id").alias("req"), "id", F.when(F.col("id") % 3 == 1, "retry").otherwise("resolve").alias("action"))
+    return lifecycle.dlq_single(t.dlq(s, d), asked, t.as_of())
+
+
+def _sealed(s, d):
+    nonce = F.substring(F.unhex(F.sha2(F.col("id").cast("string"), 256)), 1, 12)
+    key = F.col("id") % 2 == 0
+    sealed = F.when(key, secure.encrypted(F.col("payload"), NEW_KEY, nonce)).otherwise(secure.encrypted(F.col("payload"), OLD_KEY, nonce))
+    return _msg(s, d).select("id", "payload", sealed.alias("sealed"))
+
+
+def _opened(s, d):
+    rows = _sealed(s, d).withColumn("part", F.when(F.col("id") % 5 == 0, F.col("payload")).otherwise(F.col("sealed")))
+    return rows.select("id", secure.decrypted(F.col("part"), [OLD_KEY, NEW_KEY]).alias("payload"), secure.decrypted(F.col("sealed"), [OLD_KEY]).isNull().alias("lost"))
+
+
 QUERIES = {
     "outbox_poll": lambda s, d: poll.outbox_poll(_msg(s, d), "click", 40, 25).select("id", "outbox_name", "payload", "created_at"),
     "pipeline_poll_batches": lambda s, d: poll.pipeline_poll_batches(_msg(s, d), t.pipelines(s, d), t.relay_offsets(s, d)),
@@ -185,7 +223,7 @@ QUERIES = {
     "inbox_mark_failed": _mark_failed,
     "inbox_replay": _replay_inbox,
     "inbox_retention": lambda s, d: inbox.inbox_retention(t.inbox(s, d), t.inbox_config(s, d), t.as_of()),
-    "doctor_checks": lambda s, d: catalog.doctor_checks(t.literal(s, "cleanup_state"), t.dlq(s, d), t.as_of()),
+    "doctor_checks": lambda s, d: catalog.doctor_checks(t.literal(s, "cleanup_state"), t.dlq(s, d), t.as_of(), hours=72),
     "payload_group_summary": lambda s, d: metrics.payload_group_summary(_msg(s, d)),
     "event_type_totals": lambda s, d: metrics.event_type_totals(t.events(s, d)),
     "latency_percentiles": lambda s, d: metrics.latency_percentiles(t.events(s, d)),
@@ -227,6 +265,7 @@ QUERIES = {
     "breaker_trace": lambda s, d: delivery.breaker_trace(t.literal(s, "breaker_events")),
     "publish_directive": lambda s, d: t.literal(s, "outcomes").select("pos", wire.publish_directive(*[F.col(c) for c in ("outcome", "error_code", "attempts", "max_retries", "dlq")]).alias("directive")),
     "error_class": _literal_expr("error_codes", "code", cls=wire.error_class),
+    "status_code": _literal_expr("statuses", "status", code=wire.status_code),
     "tumbling_counts": lambda s, d: metrics.tumbling_counts(t.events(s, d)),
     "counter_rate": lambda s, d: metrics.counter_rate(metrics.counter_samples(t.events(s, d))),
     "histogram_quantile": lambda s, d: metrics.histogram_quantile(t.literal(s, "hist_samples"), 0.99),
@@ -234,5 +273,28 @@ QUERIES = {
     "throughput_drop": lambda s, d: metrics.throughput_drop(t.events(s, d)),
     "lag_slope": lambda s, d: metrics.lag_slope(t.events(s, d)),
     "alerts_firing": lambda s, d: metrics.alerts_firing(t.events(s, d), 0.2, 2),
+    "outbox_lifecycle": lambda s, d: lifecycle.outbox_verdict(t.literal(s, "outbox_requests"), t.outbox_config(s, d)).select("req", "verdict"),
+    "outbox_config_next": lambda s, d: lifecycle.outbox_config_next(t.outbox_config(s, d), t.literal(s, "outbox_requests")),
+    "outbox_drop_cascade": _drop_cascade,
+    "group_lifecycle": lambda s, d: lifecycle.group_verdict(t.literal(s, "group_requests"), t.groups(s, d), t.outbox_config(s, d)).select("req", "verdict"),
+    "groups_next": lambda s, d: lifecycle.groups_next(t.groups(s, d), t.literal(s, "group_requests"), t.outbox_config(s, d)),
+    "publishers_next": lambda s, d: lifecycle.publishers_next(t.literal(s, "publishers"), t.literal(s, "acl_requests"), t.outbox_config(s, d)),
+    "inbox_lifecycle": lambda s, d: lifecycle.inbox_verdict(t.literal(s, "inbox_requests"), t.inbox_config(s, d)).select("req", "verdict"),
+    "inbox_config_next": lambda s, d: lifecycle.inbox_config_next(t.inbox_config(s, d), t.literal(s, "inbox_requests")),
+    "tenant_grants_next": lambda s, d: lifecycle.grants_next(t.literal(s, "tenant_grants"), t.literal(s, "tenant_requests"), "tenant_name"),
+    "pipeline_tenant_next": lambda s, d: lifecycle.pipeline_tenant_next(t.pipelines(s, d), t.literal(s, "tenant_moves")),
+    "pipeline_switch": lambda s, d: lifecycle.pipeline_switch_verdict(t.literal(s, "switch_requests"), t.pipelines(s, d), poll.unsupported_pipelines(t.pipelines(s, d))),
+    "consumer_heartbeat": _heartbeat,
+    "dlq_single": _dlq_single,
+    "sweep_loop": _sweep_loop,
+    "truncate_delivered": lambda s, d: lifecycle.truncate_delivered(_summary(s, d)),
+    "storage_conversion": lambda s, d: lifecycle.storage_conversion_verdict(t.literal(s, "conversions")),
+    "id_range_layout": lambda s, d: lifecycle.to_id_ranges(_msg(s, d), SPAN).groupBy("id_bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most")),
+    "fan_in_next": lambda s, d: lifecycle.fan_in_next(t.literal(s, "fan_in"), t.literal(s, "fan_in_requests"), t.outbox_config(s, d)),
+    "backfill_cancel": lambda s, d: lifecycle.backfill_cancel(t.literal(s, "backfills"), t.literal(s, "cancels")),
+    "encryption_config_next": lambda s, d: lifecycle.encryption_config_next(t.literal(s, "keys"), t.literal(s, "key_updates")),
+    "secret_masking": lambda s, d: t.literal(s, "secret_configs").select("pos", secure.masked(F.col("config")).alias("config")),
+    "webhook_signature": lambda s, d: t.literal(s, "signed").select("pos", secure.signature(F.col("body"), SIGNING).alias("signature")),
+    "payload_encryption": _opened,
     "capacity_plan": lambda s, d: metrics.capacity_plan(t.literal(s, "capacity")),
 }

@@ -64,7 +64,10 @@ def leases(spark: SparkSession, d: str) -> DataFrame:
     dead = (F.col("group_name") == "error-g0") & (F.col("consumer_name") == "c1")
     off = F.col("committed_offset")
     until = F.when(live, as_of() + F.expr("interval 5 minutes")).otherwise(as_of() - F.expr("interval 5 minutes"))
-    return offsets(spark, d).where(live | dead).select("group_name", "consumer_name", (off + 1).alias("lease_start"), (off + 100).alias("lease_end"), until.alias("expires_at"))
+    held = offsets(spark, d).where(live | dead).select("group_name", "consumer_name", (off + 1).alias("lease_start"), (off + 100).alias("lease_end"), until.alias("expires_at"))
+    # Two consumers more that have live leases of the same group, apart and within reach of the next poll.
+    others = held.where("consumer_name = 'c0'").select("group_name", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(a).alias("a"), F.lit(b).alias("b")) for c, a, b in (("c8", 30, 60), ("c9", 75, 90))])).alias("o"), "lease_start", "expires_at")
+    return held.unionByName(others.select("group_name", F.col("o.c").alias("consumer_name"), (F.col("lease_start") + F.col("o.a")).alias("lease_start"), (F.col("lease_start") + F.col("o.b")).alias("lease_end"), "expires_at"))
 
 
 #: name, enabled, source_type, outbox, sink_type, tenant, owner, wire_format, batch_size
@@ -204,7 +207,7 @@ LITERALS = {
     "identifiers": ("name string", [("orders",), ("",), ("é" * 32,), ("a" * 63,), ("a" * 64,), ('bad"name',), ("ok name",)]),
     "subjects": ("subject string", [("orders.created",), ("orders.*",), ("orders.>",), (">.x",), ("a..b",), ("a.b*",), ("",), (".a",), ("a.>b",), (">",)]),
     "policies": ("policy string", [("always",), ("on_idle",), ("on_offset_gte(10)",), ("on_offset_gte()",), ("on_offset_gte(x)",), ("alwaysx",), ("ON_IDLE",)]),
-    "hook_urls": ("url string", [("https://127.0.0.1/x",), ("https://169.254.169.254/latest",), ("https://10.1.2.3/",), ("https://172.20.0.1/",), ("https://172.32.0.1/",), ("https://192.168.0.9/",), ("http://example.org/",), ("https://user@example.org/",), ("https://example.org/#f",), ("https://localhost/a",), ("https://0.0.0.0/",), ("https://8.8.8.8:443/x",), ("https://metadata.google.internal/",), ("ftp://example.org/",), ("https://",)]),
+    "hook_urls": ("url string", [("https://127.0.0.1/x",), ("https://169.254.169.254/latest",), ("https://10.1.2.3/",), ("https://172.20.0.1/",), ("https://172.32.0.1/",), ("https://192.168.0.9/",), ("http://example.org/",), ("https://user@example.org/",), ("https://example.org/#f",), ("https://localhost/a",), ("https://0.0.0.0/",), ("https://8.8.8.8:443/x",), ("https://metadata.google.internal/",), ("ftp://example.org/",), ("https://",), ("https://[::1]/",), ("https://[::]/",), ("https://[fd00::1]:8443/",), ("https://[fe80::1%25eth0]/",), ("https://[FE80::1]/",), ("https://[ff02::1]/",), ("https://[::ffff:127.0.0.1]/",), ("https://[::ffff:a00:1]/",), ("https://[::ffff:8.8.8.8]/",), ("https://[2001:db8::5]/",), ("https://[2606:4700::1111]/",), ("https://[1:2:3:4:5:6:7:8]/",), ("https://[1:2]/",), ("https://[::1/",), ("https://100.64.0.1/",), ("https://100.128.0.1/",), ("https://198.18.0.1/",), ("https://198.51.100.7/",), ("https://192.0.2.9/",), ("https://203.0.113.1/",), ("https://192.88.99.1/",), ("https://239.1.1.1/",), ("https://localhost./",), ("https://LOCALHOST:8443/",), ("https://ip6-loopback/",), ("https://metadata.azure.com./",), ("https://instance-data.ec2.internal/",), ("https://127.1/",), ("https://0x7f000001/",), ("https://2130706433/",), ("https://1.2.3.999/",), ("HTTPS://Example.org./x",), ("https://user:pw@10.0.0.1/",), ("https://example.org:bad/",), (None,)]),
     "wire_in": (
         "pos bigint, record string",
         [(1, '{"outbox_id":7,"op":"insert","stream_table":"orders","payload":{"a":1},"dedup_key":"orders:7:0"}'), (2, '{"operation":"delete","stream_table":"orders","dedup_key":"k2","payload":{"a":2}}'), (3, '{"stream_table":"orders","payload":{"a":3}}'), (4, None), (5, '{"op":"update","payload":{"a":5},"dedup_key":"k5"}')],
@@ -216,18 +219,71 @@ LITERALS = {
     "secret_payloads": ("pos bigint, payload string", [(1, '{"_enc":true,"kid":"k1","iv":"aa","ct":"bb"}'), (2, '{"a":1}'), (3, '{"_enc":false}'), (4, None)]),
     "outcomes": (
         "pos bigint, outcome string, error_code string, attempts int, max_retries int, dlq boolean",
-        [(1, "success", None, 0, 3, True), (2, "breaker_open", None, 0, 3, True), (3, "error", "decode", 1, 3, True), (4, "error", "sink_transient", 1, 3, True), (5, "error", "sink_transient", 4, 3, True), (6, "error", "sink_permanent", 1, 3, False), (7, "error", "sink_transient", 4, 3, False)],
+        [(1, "success", None, 0, 3, True), (2, "breaker_open", None, 0, 3, True), (3, "failure", "authentication", 1, 3, True), (4, "failure", "timeout", 1, 3, True), (5, "failure", "throttled", 4, 3, True), (6, "failure", "invalid_config", 1, 3, False), (7, "failure", "unavailable", 4, 3, False), (8, "breaker_open", None, 0, 3, False), (9, "failure", "unheard_of", 3, 3, True)],
     ),
-    "error_codes": ("code string", [("config",), ("poll",), ("decode",), ("encode",), ("sink_transient",), ("sink_permanent",), ("inbox_permanent",), ("payload_too_large",), ("auth",), ("timeout",), ("checkpoint",), ("max_retries_exceeded",), ("other",)]),
+    "error_codes": ("code string", [(c,) for c in "unavailable timeout throttled authentication authorization tls_verification invalid_destination message_too_large protocol_rejection invalid_config shutdown unknown other".split()]),
+    "statuses": ("status int", [(s,) for s in (200, 204, 301, 400, 401, 403, 404, 408, 422, 425, 429, 500, 503, 599, 700, 100)]),
     "fsm_events": (
-        "message string, seq bigint, event string",
-        [(m, i, e) for m, events_ in (("ok", "fetch filter_pass publish ack checkpoint"), ("amb", "fetch filter_pass publish ambiguous publish ack checkpoint"), ("dry", "fetch dry_run checkpoint"), ("filt", "fetch filter_drop checkpoint"), ("dead", "fetch filter_pass publish reject dead_letter checkpoint"), ("bad", "fetch checkpoint publish")) for i, e in enumerate(events_.split())],
+        "message string, start bigint, seq bigint, event string, frontier bigint, transient boolean",
+        [
+            (m, start, i, *(e.split(":") + [None, None])[:1], int(e.split(":")[1]) if e.startswith(("sink_acknowledged", "next_batch")) else None, e.endswith(":t") if e.startswith("publish_failed") else None)
+            for m, start, events_ in (
+                ("success", 7, "encoded publish_started sink_acknowledged:7 checkpoint_committed cleanup_allowed"),
+                ("ambiguous", 3, "encoded publish_started sink_accepted"),
+                ("accepted", 4, "encoded publish_started sink_accepted sink_acknowledged:4 checkpoint_committed"),
+                ("dry_run", 11, "encoded dry_run_observed checkpoint_committed"),
+                ("filtered", 11, "encoded intentionally_filtered checkpoint_committed"),
+                ("dead", 13, "encoded publish_started publish_failed:p dlq_persisted checkpoint_committed"),
+                ("retry", 17, "encoded publish_started publish_failed:t"),
+                ("too_early", 17, "encoded publish_started publish_failed:t checkpoint_committed encoded"),
+                ("illegal", 19, "checkpoint_committed"),
+                ("other_frontier", 5, "encoded publish_started sink_acknowledged:6 checkpoint_committed"),
+                ("next", 23, "encoded publish_started sink_accepted sink_acknowledged:23 checkpoint_committed next_batch:29"),
+            )
+            for i, e in enumerate(events_.split())
+        ],
     ),
     "breaker_events": ("pos bigint, at_s bigint, ok boolean", [(i, t, ok) for i, (t, ok) in enumerate([(0, True), (1, False), (2, False), (3, False), (4, False), (5, False), (6, False), (20, True), (36, True), (37, True), (38, True), (39, False), (40, True), (41, False), (42, False), (43, False), (44, False), (45, False), (80, False), (81, True)])]),
     "budgets": ("metric string, direction string, bound double, floor_value double, pct double, tier_pct double", [("latency", "max", 60.0, 1.0, 5.0, 10.0), ("rate", "min", 10.0, 1.0, 5.0, 10.0), ("memory", "max", 500.0, 2.0, 1.0, 20.0)]),
     "budget_samples": ("metric string, run string, v double", [(m, r, v) for m, r, vs in (("latency", "base", (10, 11, 12)), ("latency", "now", (20, 21, 25)), ("rate", "base", (100, 102, 98)), ("rate", "now", (99, 97, 101)), ("memory", "base", (100, 101, 102)), ("memory", "now", (600, 601, 602))) for v in map(float, vs)]),
     "hist_samples": ("grp string, le double, n bigint", [("a", 0.1, 10), ("a", 0.5, 40), ("a", 1.0, 90), ("a", float("inf"), 100), ("b", 0.1, 0), ("b", 0.5, 1), ("b", 1.0, 2), ("b", float("inf"), 200)]),
     "capacity": ("name string, rate double, bytes_per_msg double, outage_s double, drain_rate double", [("small", 100.0, 1024.0, 3600.0, 500.0), ("tight", 1000.0, 2048.0, 600.0, 1000.0), ("large", 5000.0, 512.0, 7200.0, 20000.0)]),
+    "outbox_requests": (
+        "req bigint, action string, outbox_name string, retention_hours int, strategy string",
+        [(1, "create", "fresh", 12, "'none'"), (2, "create", "click", 1, "none"), (3, "create_if_missing", "view", 1, "none"), (4, "create", "n" * 35, 5, "daily"), (5, "create", "n" * 36, 5, "weekly"), (6, "create", "n" * 40, 5, "none"), (7, "create", "x", 5, "hourly"), (8, "create", "", 5, "none"), (9, "drop", "signup", None, None), (10, "drop", "gone", None, None), (11, "drop_if_present", "gone", None, None), (12, "disable", "click", None, None), (13, "enable", "click", None, None), (14, "enable", "error", None, None), (15, "disable", "gone", None, None), (16, "create_if_missing", "later", 7, "monthly")],
+    ),
+    "group_requests": (
+        "req bigint, action string, group_name string, outbox_name string, reset string",
+        [(1, "create", "click-new", "click", "latest"), (2, "create", "click-g0", "click", "odd"), (3, "create_if_missing", "click-g1", "click", "odd"), (4, "create", "lost", "gone", "latest"), (5, "create", "odd", "view", "odd"), (6, "drop", "error-g1", None, None), (7, "drop", "lost", None, None), (8, "drop_if_present", "lost", None, None), (9, "create_if_missing", "view-new", "view", "none")],
+    ),
+    "acl_requests": (
+        "req bigint, action string, outbox_name string, role string",
+        [(1, "grant", "click", "web"), (2, "grant", "view", "eye"), (3, "grant", "gone", "web"), (4, "revoke", "click", "job"), (5, "revoke", "purchase", "none"), (6, "grant", "signup", "a"), (7, "revoke", "signup", "a"), (8, "revoke", "view", "b"), (9, "grant", "view", "b"), (10, "grant", "view", "")],
+    ),
+    "inbox_requests": (
+        "req bigint, action string, inbox_name string, inbox_schema string, max_retries int",
+        [(1, "create", "fresh", "app", 4), (2, "create", "click", "app", 9), (3, "create", "bad", "", 1), (4, "drop", "view", None, None), (5, "drop", "gone", None, None), (6, "drop_if_present", "gone", None, None)],
+    ),
+    "tenant_requests": (
+        "req bigint, action string, tenant_name string, role string",
+        [(1, "grant", "t0", "r2"), (2, "grant", "t0", "r0"), (3, "revoke", "t1", "r1"), (4, "revoke", "t9", "r1"), (5, "grant", "t3", "")],
+    ),
+    "tenant_moves": ("req bigint, name string, tenant string", [(1, "click-p", "t7"), (2, "click-p", "t8"), (3, "gone", "t1"), (4, "error-p", "")]),
+    "switch_requests": ("req bigint, action string, name string", [(1, "enable", "signup-p"), (2, "enable", "legacy-redis"), (3, "disable", "legacy-redis"), (4, "delete", "no-source"), (5, "enable", "gone"), (6, "enable", "no-source")]),
+    "beats": ("group_name string, consumer_name string, minutes int", [("click-g0", "c0", 0), ("click-g0", "c0", 3), ("error-g1", "c1", 0), ("signup-g1", "c0", 0)]),
+    "conversions": (
+        "req bigint, layout string, confirm boolean, admin boolean, span bigint, ahead int",
+        [(1, "plain", True, True, 1000, 2), (2, "plain", False, True, 1000, 2), (3, "plain", True, False, 1000, 2), (4, "id_range", True, True, 1000, 2), (5, "noncanonical", True, True, 1000, 2), (6, "plain", True, True, 0, 2), (7, "id_range", True, True, 10, 101)],
+    ),
+    "fan_in_requests": ("req bigint, name string, members string", [(1, "all", "click,view"), (2, "fresh", "signup,error"), (3, "one", "signup,gone"), (4, "fresh", "purchase")]),
+    "cancels": ("name string", [("a",), ("b",), ("c",), ("e",), ("gone",)]),
+    "keys": ("outbox_name string, kms string, key_id string", [("click", "local", "k1"), ("view", "aws", "arn")]),
+    "key_updates": ("req bigint, outbox_name string, kms string, key_id string", [(1, "click", "vault", "k2"), (2, "error", "gcp", "g1"), (3, "error", "gcp", "g2"), (4, "view", "other", "x"), (5, "view", "aws", ""), (6, "", "aws", "x")]),
+    "secret_configs": (
+        "pos bigint, config string",
+        [(1, '{"url":"${env:URL}","n":1}'), (2, '{"a":{"b":["x","${file:/run/k}"]},"c":"plain"}'), (3, '{"a":"pre-${env:K}-post","b":"$env:K"}'), (4, '{"a":"say \\"${env:K}\\"","b":"${other:K}"}'), (5, None), (6, '{"k":"v"}')],
+    ),
+    "signed": ("pos bigint, body string", [(1, ""), (2, '{"a":1}'), (3, "é" * 100), (4, "x" * 1000)]),
 }
 
 
