@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a Bloom filter; a documented constant bound: 2 MB once packed, whatever the input.
-BLOOM_BITS = 1 << 24
+from ..sources.staging import drop_stage, shared_dir, staged  # noqa: F401
+
+#: Most bits of a Bloom filter: 32 MB once packed. One for more keys than it suits lets more through, and the joins behind it decide.
+BLOOM_BITS = 1 << 28
 BLOOM_HASHES = 4
 
 
@@ -45,52 +44,18 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where it is unset, a folder of this machine if that is all the session has (local master, as in tests), else an error.
-    """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(spark.sparkContext, "_eventledger_dir", None)
-    if own is None:
-        own = spark.sparkContext._eventledger_dir = "file://" + tempfile.mkdtemp(prefix="eventledger-")
-    return own
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The folder is removed when the session's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        where = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def bloom_bits(n: int) -> int:
+    """Bits of a filter for n keys: 16 or more each, within BLOOM_BITS."""
+    return min(max(1 << 20, 1 << max(0, 16 * n - 1).bit_length()), BLOOM_BITS)
 
 
-def bloom_of(df: DataFrame, col: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A packed Bloom filter over a column of longs.
+def bloom_of(df: DataFrame, col: str) -> np.ndarray:
+    """A packed Bloom filter over a column of longs, sized by their number.
 
-    Tasks emit words of set bits; Spark ORs them by position, so at most bits/64 rows reach the
+    Tasks emit words of set bits; Spark ORs them by position, so at most BLOOM_BITS / 64 rows reach the
     driver whatever the size of df. Misses are certain; hits must be confirmed by the caller.
     """
+    bits = bloom_bits(df.count())
     h = F.col(col)
     second = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long"))
     slots = F.array(*[F.pmod(h + second * F.lit(i).cast("long"), F.lit(bits).cast("long")) for i in range(BLOOM_HASHES)])

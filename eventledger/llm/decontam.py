@@ -2,21 +2,25 @@
 
 Each task builds the suffix array of its shard (some megabytes of texts, at word level), sorted as deep as
 the longest benchmark item, and binary-searches every benchmark suffix in it. That gives the longest verbatim
-match of each suffix; a suffix that matches at least a window long is located in the documents, and hit words,
-items and the longest match are kept per document. No text leaves its task and nothing is shuffled.
+match of each suffix; a suffix that matches at least a window long is located in the documents, and hit words
+and items are kept per document. The longest match of a document is read off at its hit places, which are looked up among the
+sorted suffixes of the items. No text leaves its task and nothing is shuffled.
 
-The benchmark is the stated query set. It goes to tasks in blocks of at most BLOCK_BYTES of text; with more
-than one block the passes follow each other, each adding to the state that the rows carry.
+The benchmark is the stated query set. It goes to tasks in blocks of at most BLOCK_BYTES of text, one on the driver at a time.
+If there are several, a first pass looks for windows of the whole benchmark in a Bloom filter of bounded size; documents
+without any are done, and the others are staged and go through one pass for each block, which adds to the state that rows carry.
 
 Defined results: null texts have no words and no hits; items without words have no window, shorter items one
-window of all their words; rows of equal texts have equal results; an empty benchmark hits nothing; empty tables
-give empty tables. State columns start with an underscore and other columns of the same name are replaced.
+window of all their words; items are told apart by their id, however many rows it has, and rows without an id are searched for hits but
+count as no item; rows of equal texts have equal results; an empty benchmark hits nothing; empty tables
+give empty tables. Columns of any name stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import ALNUM, groups, words_of
-from .common import read, trimmed
+from .bytewords import ALNUM, groups, mixed, words_of
+from .common import bloom_has, bloom_of, read, staged, trimmed, unused
 
 WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
@@ -42,15 +46,18 @@ class Block:
     #: Per distinct window: its first word in words, its length.
     at: np.ndarray
     length: np.ndarray
-    #: Places of window i: item and offset in the item, from place[i] to place[i + 1].
+    #: Items that hold window i: item from place[i] to place[i + 1], each once.
     place: np.ndarray
     item: np.ndarray
-    offset: np.ndarray
 
     @property
     def depth(self) -> int:
         return int(np.diff(self.bounds).max(initial=1))
 
+    @cached_property
+    def suffixes(self) -> Shard:
+        return Shard(self.words, self.bounds, self.depth)
+
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of texts and where each text's start."""
@@ -64,22 +71,24 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_of(names: list, texts: pa.Array, window: int = WINDOW) -> Block:
+    """names: of the items, repeated where one has several rows; None for rows that count as no item."""
     words, bounds = hashed(texts)
-    first, length, item, offset, content = [], [], [], [], []
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+    number = {x: i for i, x in enumerate(dict.fromkeys(x for x in names if x is not None))}
+    first, length, item, content = [], [], [], []
+    for name, a, b in zip(names, bounds[:-1], bounds[1:]):
         size = min(window, b - a)
         for j in range(b - a - size + 1 if size else 0):
             first.append(a + j)
             length.append(size)
-            item.append(i)
-            offset.append(j)
+            item.append(number.get(name, -1))
             content.append(words[a + j : a + j + size].tobytes())
     ids: dict = {}
     which = np.array([ids.setdefault(c, len(ids)) for c in content], dtype=np.int64)
-    order = np.argsort(which, kind="stable")
-    place = np.searchsorted(which[order], np.arange(len(ids) + 1))
-    first, length, item, offset = (np.array(x, dtype=np.int64)[order] for x in (first, length, item, offset))
-    return Block(names, words, bounds, first[place[:-1]], length[place[:-1]], place, item, offset)
+    first, length, item = (np.array(x, dtype=np.int64) for x in (first, length, item))
+    _, least = np.unique(which, return_index=True)
+    held = np.unique(np.stack([which, item]), axis=1) if len(which) else np.zeros((2, 0), dtype=np.int64)
+    held = held[:, held[1] >= 0]
+    return Block(list(number), words, bounds, first[least], length[least], np.searchsorted(held[0], np.arange(len(ids) + 1)), held[1])
 
 
 class Shard:
@@ -195,30 +204,26 @@ def match(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarra
     found = np.flatnonzero(reach[block.at] >= block.length)
     first, last = block.at[found], block.at[found] + block.length[found]
     places, which = _ranges(shard.search(query, first, last), shard.search(query, first, last, after=True))
+    if not len(places):
+        return hit[:-1] > 0, none, none, longest
     position, window = shard.order[places], found[which]
     np.add.at(hit, position, 1)
     np.add.at(hit, position + block.length[window], -1)
-    # Each place of a window in an item; equal differences of position and offset run along one match.
-    spot, pair = _ranges(block.place[window], block.place[window + 1])
     doc = np.searchsorted(shard.bounds, position, side="right") - 1
-    doc, position, item, offset, size = doc[pair], position[pair], block.item[spot], block.offset[spot], block.length[window][pair]
-    if len(doc):
-        by = np.lexsort((position, position - offset, item, doc))
-        d, p, i, s, slant = doc[by], position[by], item[by], size[by], (position - offset)[by]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (slant[1:] != slant[:-1]) | (p[1:] != p[:-1] + 1)
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))
-        np.maximum.at(longest, d, p - p[begin] + s)
-    pairs = np.unique(np.stack([doc, item]), axis=1) if len(doc) else np.zeros((2, 0), dtype=np.int64)
+    # Each window once a document, then the items that hold it.
+    seen = np.unique(np.stack([doc, window]), axis=1)
+    spot, row = _ranges(block.place[seen[1]], block.place[seen[1] + 1])
+    pairs = np.unique(np.stack([seen[0][row], block.item[spot]]), axis=1)
+    # Each hit place once, between its neighbours among the items' suffixes.
+    position = np.unique(position)
+    text = block.suffixes.ranks(shard.vocabulary)[(shard.rank[:-1] - 2) // 2]
+    at = block.suffixes.search(text, position, shard.end[position])
+    reach = np.maximum(block.suffixes.common(at - 1, text, position, shard.end[position]), block.suffixes.common(at, text, position, shard.end[position]))
+    np.maximum.at(longest, np.searchsorted(shard.bounds, position, side="right") - 1, reach)
     return np.cumsum(hit[:-1]) > 0, pairs[0], pairs[1], longest
 
 
-STATE = [
-    T.StructField("_words", T.LongType()),
-    T.StructField("_hits", T.ArrayType(T.LongType())),
-    T.StructField("_items", T.ArrayType(T.StringType())),
-    T.StructField("_longest", T.LongType()),
-]
+STATE = [("words", T.LongType()), ("hits", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType())), ("longest", T.LongType())]
 
 
 def _runs(hit: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
@@ -237,24 +242,8 @@ def _runs(hit: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array((2 * at).astype(np.int32)), pa.array(np.stack([first - base, last - base], axis=1).ravel().astype(np.int64)))
 
 
-def _searched(block: Block, first: bool, keep: list[str]):
-    def one(rows: pa.Table) -> pa.RecordBatch:
-        rows = rows.combine_chunks()
-        words, bounds = hashed(rows.column("text"))
-        hit, doc, item, longest = match(Shard(words, bounds, block.depth), block)
-        names = pa.array([str(x) for x in block.names], type=pa.string())
-        at = np.searchsorted(doc, np.arange(rows.num_rows + 1))
-        items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), names.take(pa.array(item)))
-        if not first:
-            old = rows.select([f.name for f in STATE])
-            for i, flat in enumerate(old.column("_hits").to_pylist()):
-                for a, b in zip(flat[::2], flat[1::2]):
-                    hit[bounds[i] + a : bounds[i] + b] = True
-            items = pa.array([sorted({*x, *y}) for x, y in zip(items.to_pylist(), old.column("_items").to_pylist())], type=pa.list_(pa.string()))
-            longest = np.maximum(longest, old.column("_longest").to_numpy())
-        columns = [rows.column(c).combine_chunks() for c in keep] + [pa.array(np.diff(bounds)), _runs(hit, bounds), items, pa.array(longest)]
-        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        return pa.RecordBatch.from_arrays(columns, names=keep + [f.name for f in STATE])
+def _in_shards(one: Callable[[pa.Table], pa.RecordBatch], text: str):
+    """A task function that hands rows on in shards of about SHARD_BYTES of text."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +251,7 @@ def _searched(block: Block, first: bool, keep: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lengths = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+            lengths = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
             total, start = np.cumsum(lengths), 0
             for i in range(batch.num_rows):
                 if size + total[i] - (total[start - 1] if start else 0) >= SHARD_BYTES:
@@ -278,44 +267,124 @@ def _searched(block: Block, first: bool, keep: list[str]):
     return run
 
 
-def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The items in blocks of about most bytes of text each; one block is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
+def _searched(block: Block, keep: list[str], text: str, state: list[str], first: bool):
+    def one(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        words, bounds = hashed(rows.column(text))
+        hit, doc, item, longest = match(Shard(words, bounds, block.depth), block)
+        names = pa.array([str(x) for x in block.names], type=pa.string())
+        at = np.searchsorted(doc, np.arange(rows.num_rows + 1))
+        items = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), names.take(pa.array(item)))
+        if not first:
+            _, hits, old, far = (rows.column(c) for c in state)
+            for i, flat in enumerate(hits.to_pylist()):
+                for a, b in zip(flat[::2], flat[1::2]):
+                    hit[bounds[i] + a : bounds[i] + b] = True
+            items = pa.array([sorted({*x, *y}) for x, y in zip(items.to_pylist(), old.to_pylist())], type=pa.list_(pa.string()))
+            longest = np.maximum(longest, far.to_numpy())
+        return _batch(rows, keep, state, [pa.array(np.diff(bounds)), _runs(hit, bounds), items, pa.array(longest)])
+
+    return _in_shards(one, text)
+
+
+def _batch(rows: pa.Table, keep: list[str], names: list[str], added: list) -> pa.RecordBatch:
+    columns = [rows.column(c).combine_chunks() for c in keep] + added
+    columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays(columns, names=keep + names)
+
+
+def _window_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all windows of size words."""
+    n = np.maximum(0, np.diff(bounds) - size + 1)
+    text = np.repeat(np.arange(len(n)), n)
+    first = bounds[text] + np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    h = np.full(len(text), size, dtype=np.uint64)
+    for j in range(size):
+        h = mixed(h + words[first + j] * np.uint64(2 * j + 3))
+    return text, h.view(np.int64)
+
+
+def _item_windows(window: int):
+    """(size, hash) of the windows of items."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, bounds = hashed(batch.column("text"))
+            n = np.minimum(np.diff(bounds), window)
+            for size in np.unique(n[n > 0]).tolist():
+                text, h = _window_hashes(words, bounds, size)
+                h = h[n[text] == size]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size)), pa.array(h)], names=["size", "h"])
+
+    return run
+
+
+def _sifted(wanted: np.ndarray, sizes: list[int], keep: list[str], text: str, state: list[str]):
+    """Rows with a fresh state, whose longest match is -1 where a window of the benchmark may occur."""
+
+    def one(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        words, bounds = hashed(rows.column(text))
+        longest = np.zeros(rows.num_rows, dtype=np.int64)
+        for size in sizes:
+            doc, h = _window_hashes(words, bounds, size)
+            longest[doc[bloom_has(wanted, h)]] = -1
+        none = pa.ListArray.from_arrays(pa.array(np.zeros(rows.num_rows + 1, dtype=np.int32)), pa.array([], pa.int64()))
+        return _batch(rows, keep, state, [pa.array(np.diff(bounds)), none, none.cast(pa.list_(pa.string())), pa.array(longest)])
+
+    return _in_shards(one, text)
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about most bytes of text each the items make, and the blocks, each collected when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-2 * total // most)) if total > most else 1
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        rows = part.orderBy("item", "text").collect()
-        yield block_of([r.item for r in rows], pa.array([r.text for r in rows], type=pa.large_string()), window)
+
+    def each() -> Iterator[Block]:
+        for b in range(n):
+            part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
+            rows = part.orderBy("item", "text").collect()
+            yield block_of([r.item for r in rows], pa.array([r.text for r in rows], type=pa.large_string()), window)
+
+    return n, each()
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> DataFrame:
-    """The columns keep of docs and the state columns: words, runs of hit words, items found, longest match."""
+def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW) -> tuple[DataFrame, dict[str, str]]:
+    """The columns keep of docs and the state: words, runs of hit words, items found, longest match; and the state's column names."""
+    names = {k: unused([*keep, "text"], k) for k, _ in STATE}
+    state = list(names.values())
+    schema = lambda columns: T.StructType([docs.schema[c] for c in columns] + [T.StructField(names[k], kind) for k, kind in STATE])
     carried = [*keep, *(["text"] if "text" not in keep else [])]
-    out, first = docs.select(*carried), True
-    todo = list(blocks(benchmark, window))
-    for i, block in enumerate(todo):
-        names = keep if i == len(todo) - 1 else carried
-        schema = T.StructType([docs.schema[c] for c in names] + STATE)
-        out = out.mapInArrow(_searched(block, first, names), schema)
-        first = False
-    return out
+    n, each = blocks(benchmark, window)
+    if n == 1:
+        return docs.select(*carried).mapInArrow(_searched(next(each), keep, "text", state, True), schema(keep)), names
+    windows = staged(benchmark.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_item_windows(window), "size long, h long"), "windows")
+    sizes = [r.size for r in windows.select("size").distinct().collect()]
+    out = staged(docs.select(*carried).mapInArrow(_sifted(bloom_of(windows, "h"), sizes, carried, "text", state), schema(carried)), "sifted")
+    far = F.col(names["longest"])
+    done, open_ = out.where(far == 0), out.where(far < 0).withColumn(names["longest"], F.lit(0).cast("long"))
+    for block in each:
+        open_ = staged(open_.mapInArrow(_searched(block, carried, "text", state, False), schema(carried)), "searched")
+    return done.unionByName(open_).select(*keep, *state), names
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold a window of a benchmark item; all columns stay."""
-    return searched(docs, benchmark, docs.columns, window).where(F.size("_hits") == 0).select(*docs.columns)
+    rows, names = searched(docs, benchmark, docs.columns, window)
+    return rows.where(F.size(names["hits"]) == 0).select(*docs.columns)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = searched(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
-    n_hit = F.expr("aggregate(sequence(0, size(_hits) div 2), 0L, (a, i) -> a + coalesce(get(_hits, 2 * i + 1) - get(_hits, 2 * i), 0L))")
+    rows, _ = searched(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
+    n_hit = F.expr("aggregate(sequence(0, size(hits) div 2), 0L, (a, i) -> a + coalesce(get(hits, 2 * i + 1) - get(hits, 2 * i), 0L))")
     return rows.select(
         "doc_id",
-        F.col("_words").alias("n_words"),
+        F.col("words").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("_items"), ",").cast("binary"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("_longest").alias("longest_match"),
+        F.col("longest").alias("longest_match"),
     )

@@ -3,8 +3,8 @@
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DECONTAM = f"""
-with recursive sizes as (select distinct least(10, len(ws)) as size from (select regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws from benchmark where item_id is not null) where len(ws) > 0),
-b as (select item_id::varchar as item, regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws from benchmark where item_id is not null),
+with recursive sizes as (select distinct least(10, len(ws)) as size from (select regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws from benchmark) where len(ws) > 0),
+b as (select item_id::varchar as item, regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws from benchmark),
 bw as (select item, j, least(10, len(ws)) as size, array_to_string(ws[j + 1:j + least(10, len(ws))], ' ') as k from (select item, ws, unnest(range(greatest(len(ws) - 9, 1))) as j from b where len(ws) > 0)),
 d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as ws from documents),
 dw as (select doc_id, i, size, array_to_string(ws[i + 1:i + size], ' ') as k from (select doc_id, ws, size, unnest(range(len(ws) - size + 1)) as i from d, sizes where len(ws) >= size)),
