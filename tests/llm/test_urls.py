@@ -1,3 +1,4 @@
+import random
 import re
 
 from eventledger.llm import urls
@@ -66,6 +67,84 @@ def test_a_template_is_judged_by_its_own_examples(spark):
     assert {given[r.page_id]: r.verdict for r in out if r.rule is None} == asked
 
 
+def tree(paths):
+    """{segments: (template, purity)} of one host's {segments: (n, bad, u)}, by recursion."""
+    out = {}
+
+    def smooth(n, bad, parent):
+        return (bad + urls.WEIGHT * (parent if bad else urls.PRIOR)) / (n + urls.WEIGHT)
+
+    def node(members, at, template, parent):
+        n, bad, u = (sum(paths[m][i] for m in members) for i in range(3))
+        purity = smooth(n, bad, parent)
+        while all(len(m) > at for m in members) and len({m[at] for m in members}) == 1:
+            template, at = f"{template}/{members[0][at]}", at + 1
+        if n == 0 or (u == 0 and bad in (0, n)):
+            out.update((m, (template, purity)) for m in members)
+            return
+        by = {}
+        for m in members:
+            by.setdefault(m[at] if len(m) > at else "", []).append(m)
+        sums = {s: tuple(sum(paths[m][i] for m in ms) for i in (0, 1)) for s, ms in by.items()}
+        inner = [s for s in by if s]
+        if "" in by:
+            own = smooth(*sums[""], purity) if inner else purity
+            out.update((m, (template, own)) for m in by[""])
+        names = {s: s for s in inner}
+        if len(inner) > urls.FANOUT:
+            kinds, k, before = sorted({sums[s] for s in inner if sums[s][0]}, key=lambda c: (c[1] / c[0], c[0])), 0, None
+            classes = {}
+            for c in kinds:
+                times = sum(sums[s] == c for s in inner)
+                now = (c[0] * times, c[1] * times)
+                if before:
+                    pool = (now[1] + before[1]) / (now[0] + before[0])
+                    z = abs(now[1] / now[0] - before[1] / before[0]) / (max(pool * (1 - pool), 1e-12) * (1 / now[0] + 1 / before[0])) ** 0.5
+                    k += z > urls.APART
+                classes[c], before = k, now
+            names = {s: f"*{classes[sums[s]]}" if sums[s][0] else "*" for s in inner}
+        groups = {}
+        for s in inner:
+            groups.setdefault(names[s], []).extend(by[s])
+        for name, ms in groups.items():
+            node(ms, at + 1, f"{template}/{name}", purity)
+
+    if paths:
+        node(list(paths), 0, "", urls.PRIOR)
+    return out
+
+
+def test_tree_equals_recursion(spark):
+    rng = random.Random(11)
+    hosts = {}
+    for h in range(6):
+        width = (3, 30, 60)[h % 3]
+        for _ in range(250):
+            path = tuple(f"s{rng.randrange(width if i == 1 else 3)}{rng.choice('abc')}" for i in range(rng.randrange(0, 7)))
+            n = rng.choice([0, 0, 1, 4, 9])
+            share = 0.9 if path[1:2] and path[1] < "s2" else 0.1
+            hosts.setdefault(f"h{h}", {})[path] = (n, sum(rng.random() < share for _ in range(n)), rng.choice([0, 1, 3]) if n else 2)
+    rows = [(h, list(p), *c) for h, paths in hosts.items() for p, c in paths.items()]
+    found = urls.tree_of(spark.createDataFrame(rows, "host string, segments array<string>, n long, bad long, u long")).collect()
+    assert len(found) == len(rows)
+    want = {h: tree(paths) for h, paths in hosts.items()}
+    for r in found:
+        template, purity = want[r.host][tuple(r.segments)]
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+    assert any("/*1" in r.template for r in found)
+
+
+def test_branches_that_differ_far_down_are_told_apart(spark):
+    deep = "/".join(f"seg{i}x" for i in range(12))
+    rules = tuple(("block" if i % 2 else "allow", f"h/{deep}/k{'ab'[i % 2]}/{c}") for i in range(2) for c in "pqr")
+    given = [f"http://h/{deep}/k{'ab'[i % 2]}/{c}{j}" for i in range(2) for c in "pqr" for j in range(9)]
+    asked = {f"http://h/{deep}/kb/zz": "allow", f"http://h/{deep}/kb/p": "block", f"http://h/{deep}/ka/z": "allow", "http://h/seg0x": "allow"}
+    out = urls.judged(spark.createDataFrame(list(enumerate([*given, *asked])), "page_id long, url string"), rules).collect()
+    assert {x.verdict for x in out if "/kb/" in x.path and x.rule} == {"block"}
+    assert all(r.verdict == asked[u] for r in out for u in asked if r.path == u[8:] and r.rule is None)
+    assert len({r.template for r in out if r.rule}) >= 2
+
+
 def test_query_on_whole_table(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     out = urls.op8_urls(spark, sf).collect()
