@@ -111,8 +111,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, added = ", ".join(k.name for k in BASE), ", ".join(k.name for k in KINDS)
     return found.select(
         "doc_id",
-        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in KINDS],
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(F.expr(_joined(f"concat({base})")).cast("binary"), 256).alias("base_sha256"),
         F.expr(_joined(f"concat({added})")).alias("spans"),
+        *[F.size(k.name).cast("long").alias(f"n_{k.name}") for k in KINDS if k not in BASE],
         F.expr(f"round(aggregate(concat({added}), 0D, (a, y) -> a + y.score), 6)").alias("score_sum"),
     )
