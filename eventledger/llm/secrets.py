@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, staged
 from .pii import located, quoted
 
 _KEY = "A-Za-z0-9+/_=-"
@@ -182,7 +182,7 @@ def forest_sql(findings: DataFrame, trees: int = TREES, depth: int = LEVELS) ->
     names = list(FEATURES)
     found = findings.select("text", "label", (F.col("path") if "path" in findings.columns else F.lit(None).cast("string")).alias("path"))
     one = candidates(found, "label", path="path").where("size(cand) > 0").select(F.col("label").cast("double").alias("label"), F.expr("cand[0]").alias("y"))
-    one = one.select("label", *[f"y.{x}" for x in names]).where("label in (0, 1)")
+    one = staged(one.select("label", *[f"y.{x}" for x in names]).where("label in (0, 1)"), "findings")
     counts = one.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     if not counts.n or counts.bad in (0, counts.n):
         return f"{(counts.bad or 0) / max(counts.n, 1)}D"
