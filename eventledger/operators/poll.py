@@ -35,7 +35,8 @@ def few(df: DataFrame) -> DataFrame:
 def pipeline_poll_batches(messages: DataFrame, pipelines: DataFrame, offsets: DataFrame, group: str = "default") -> DataFrame:
     """The next batch of every enabled pipeline from its own offset.
 
-    The largest configured batch is a constant of the plan, so Spark limits each pipeline to it before the shuffle.
+    The largest configured batch is a constant of the plan, so Spark limits each pipeline to it before the shuffle (batches
+    over its own spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default, after it).
     """
     p = pipelines.where("enabled").select(F.col("name").alias("pipeline_id"), config_field("source.outbox").alias("outbox_name"), config_field("batch_size").cast("int").alias("batch"))
     o = offsets.where(F.col("relay_group_id") == group).select("pipeline_id", "last_change_id")

@@ -290,6 +290,12 @@ _BODIES = {
     "date_partition_bounds": "select 'p' || strftime(f, '%Y%m%d') as name, f as from_ts, f + interval 7 day as to_ts, n from (select date_trunc('week', created_at)::timestamp as f, count(*) as n from messages group by 1)",
     "delivery_fsm": f"""select f.* from (select distinct message from fsm_events) join (values {", ".join("(" + ", ".join(map(_value, r)) + ")" for r in _FACTS)})
         as f(message, state, checkpoint, acknowledged_frontier, source_visible, duplicate_possible, cleanup_allowed, failure_transient, refused, n_events) using (message)""",
+    "breaker_trace": """select * from (with recursive f as (select -1::bigint as pos, true as allowed, 'closed' as state, 0 as n, 0::bigint as opened union all
+        select pos, allowed, case when not allowed then 'open' when was = 'half_open' then case when not ok then 'open' when n + 1 >= 3 then 'closed' else 'half_open' end when not ok and n + 1 >= 5 then 'open' else 'closed' end,
+          case when not allowed or (was = 'half_open' and (not ok or n + 1 >= 3)) or (was = 'closed' and (ok or n + 1 >= 5)) then 0 else n + 1 end,
+          case when allowed and not ok and (was = 'half_open' or n + 1 >= 5) then at_s else opened end
+        from (select e.pos, at_s, ok, opened, case when state = 'open' and at_s - opened >= 30 then 'half_open' else state end as was, state = 'open' and at_s - opened < 30 as refused,
+          not refused as allowed, case when state = 'open' then 0 else n end as n from f join breaker_events e on e.pos = f.pos + 1)) select pos, allowed, state from f where pos >= 0)""",
     "publish_directive": """select pos, case when outcome = 'success' then 'continue' when outcome = 'breaker_open' then if(dlq, 'dead_letter:sink_permanent', 'backoff')
         when error_code in ('authentication', 'invalid_config') then if(dlq, 'dead_letter:sink_permanent', 'stop') when dlq and attempts > max_retries then 'dead_letter:max_retries_exceeded' else 'backoff' end as directive from outcomes""",
     "error_class": "select code, if(code in ('unavailable', 'timeout', 'throttled', 'unknown', 'other'), 'transient', 'permanent') as cls from error_codes",

@@ -9,8 +9,6 @@ import pytest
 from eventledger.plans.oracle import ORACLES
 from eventledger.plans.queries import QUERIES
 
-#: Folds over a single ordered stream, tested in test_streaming.py.
-NO_SQL = {"breaker_trace"}
 
 
 @pytest.fixture(scope="module")
@@ -36,11 +34,11 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(one(x) for x in r) for r in frame.astype(object).itertuples(index=False))
 
 
-def test_all_but_folds_have_sql():
-    assert set(QUERIES) - set(ORACLES) == NO_SQL and set(ORACLES) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - NO_SQL))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, sf, duck, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
