@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .poll import few
+
 
 def inbox_dedup(deliveries: DataFrame, inbox: DataFrame) -> DataFrame:
     """Deliveries that an inbox takes in: the first of each event id that it doesn't hold."""
@@ -19,13 +21,13 @@ def inbox_dup_count(deliveries: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def inbox_pending_rows(inbox: DataFrame, config: DataFrame) -> DataFrame:
-    rows = inbox.join(F.broadcast(config.select("inbox_name", "max_retries")), "inbox_name").where("processed_at is null and retry_count < max_retries")
+    rows = inbox.join(few(config.select("inbox_name", "max_retries")), "inbox_name").where("processed_at is null and retry_count < max_retries")
     return rows.select("inbox_name", "id", "event_id", "retry_count")
 
 
 def inbox_fleet_status(inbox: DataFrame, config: DataFrame) -> DataFrame:
     """Counts of every configured inbox, also of empty ones: one aggregate over one table."""
-    rows = inbox.join(F.broadcast(config.select("inbox_name", "max_retries")), "inbox_name")
+    rows = inbox.join(few(config.select("inbox_name", "max_retries")), "inbox_name")
     open_ = F.col("processed_at").isNull()
     per = rows.groupBy("inbox_name").agg(
         F.count("*").alias("total"), F.count_if(open_ & (F.col("retry_count") < F.col("max_retries"))).alias("pending"),
@@ -73,7 +75,7 @@ def inbox_replay(inbox: DataFrame, ids: DataFrame) -> DataFrame:
 
 def inbox_retention(inbox: DataFrame, config: DataFrame, as_of: Column) -> DataFrame:
     """What stays: all but messages processed longer ago than their inbox keeps them."""
-    rows = inbox.join(F.broadcast(config.select("inbox_name", "processed_retention_hours")), "inbox_name")
+    rows = inbox.join(few(config.select("inbox_name", "processed_retention_hours")), "inbox_name")
     cut = as_of - F.expr("make_dt_interval(0, processed_retention_hours)")
     return rows.where(F.col("processed_at").isNull() | (F.col("processed_at") >= cut)).select("inbox_name", "id")
 

@@ -27,9 +27,9 @@ def config_field(path: str) -> Column:
 FEW = 100_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has FEW rows at most."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def few(df: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """df, marked for broadcast if it has FEW rows at most; counted: a table with as many rows that is cheaper to count."""
+    return F.broadcast(df) if (df if counted is None else counted).limit(FEW + 1).count() <= FEW else df
 
 
 def pipeline_poll_batches(messages: DataFrame, pipelines: DataFrame, offsets: DataFrame, group: str = "default") -> DataFrame:

@@ -60,7 +60,7 @@ def deletable() -> Column:
 def retention_status(messages: DataFrame, config: DataFrame, safe: DataFrame, cleanup: DataFrame, as_of: Column) -> DataFrame:
     """What each outbox retains, what is pending, expired and free to go; outboxes without messages stay."""
     rules = config.select("outbox_name", "retention_hours", "enabled").join(safe, "outbox_name", "left")
-    rows = messages.join(F.broadcast(rules), "outbox_name")
+    rows = messages.join(few(rules, config), "outbox_name")
     old = expired(as_of)
     per = rows.groupBy("outbox_name").agg(
         F.count("*").alias("rows"),
@@ -89,7 +89,7 @@ def lease_blocked(groups: DataFrame, leases: DataFrame, as_of: Column) -> DataFr
 def sweep_candidates(messages: DataFrame, config: DataFrame, safe: DataFrame, as_of: Column, batch: int) -> DataFrame:
     """Up to batch + 1 rows an outbox that may be deleted, in id order; the extra one tells that more remain."""
     rules = config.select("outbox_name", "retention_hours").join(safe, "outbox_name", "left")
-    rows = messages.select("id", "outbox_name", "created_at").join(F.broadcast(rules), "outbox_name").where(expired(as_of) & deletable())
+    rows = messages.select("id", "outbox_name", "created_at").join(few(rules, config), "outbox_name").where(expired(as_of) & deletable())
     rank = F.row_number().over(Window.partitionBy("outbox_name").orderBy("id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= batch + 1).select("outbox_name", "id", "rank")
 

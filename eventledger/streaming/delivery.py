@@ -219,8 +219,11 @@ def deliver(spark: SparkSession, source: str, state: str, sink: Sink, pipeline:
     """
     ledger, how = f"{state}/ledger", how or Delivery()
 
-    def earlier(batch_id: int) -> DataFrame:
-        return ledger_of(spark, state).where((F.col("batch") < batch_id) & F.col("outcome").isin(*TERMINAL))
+    def earlier(batch_id: int, batch: DataFrame) -> DataFrame:
+        """Terminal outcomes of earlier batches; the range of the batch's ids keeps the rest of a grown ledger unread."""
+        least, most = batch.agg(F.min("id"), F.max("id")).first()
+        rows = ledger_of(spark, state).where((F.col("batch") < batch_id) & F.col("outcome").isin(*TERMINAL))
+        return rows.where(F.col("id").between(least, most)) if least is not None else rows.limit(0)
 
     def written(rows: DataFrame, batch_id: int, attempt: int) -> DataFrame:
         path = f"{ledger}/batch={batch_id}/attempt={attempt}"
@@ -229,7 +232,7 @@ def deliver(spark: SparkSession, source: str, state: str, sink: Sink, pipeline:
 
     def run(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("dedup_key", F.concat(F.lit("outbox_"), "outbox_name", F.lit(":"), "id", F.lit(":0"))).dropDuplicates(["dedup_key"])
-        new = keyed.join(earlier(batch_id).select("dedup_key"), "dedup_key", "left_anti")
+        new = keyed.join(earlier(batch_id, batch).select("dedup_key"), "dedup_key", "left_anti")
         kept = F.coalesce(how.keep(new), F.lit(False)) if how.keep else F.lit(True)
         large = F.octet_length("payload") > how.message_bytes if how.message_bytes is not None else F.lit(False)
         outcome = F.when(~kept, "filtered").when(F.lit(how.dry_run), "dry_run").when(F.coalesce(large, F.lit(False)), "dead_letter" if how.dlq else "stop").otherwise("retry")
