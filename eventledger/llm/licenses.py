@@ -1,5 +1,7 @@
 """License scans by template markup: texts of licences with optional and replaceable regions as token automata.
 
+Templates written in the legacy SPDX markup are taken by from_spdx().
+
 Markup: `[...]` is optional, `{a-b}` stands for a to b words of any kind, anything else is mandatory wording;
 case, punctuation and line breaks don't count. Each template is compiled once to a nondeterministic automaton over
 word hashes. It is run from every place whose two words can begin it and accepts a text whose mandatory wording
@@ -100,6 +102,16 @@ TEMPLATES = {
 }
 
 
+def from_spdx(text: str, most: int = 60) -> str:
+    """Markup of a template in the legacy SPDX form: <<beginOptional>> to <<endOptional>>, and <<var;...>> for up to most words."""
+    text = re.sub(r"<<beginOptional[^>]*>>", " \x01 ", text)
+    text = re.sub(r"<<endOptional>>", " \x02 ", text)
+    text = re.sub(r"<<var;.*?>>", " \x03 ", text, flags=re.S)
+    words = re.findall(r"[\x01-\x03]|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    signs = {"\x01": "[", "\x02": "]", "\x03": f"{{0-{most}}}"}
+    return re.sub(r"\[ \]", "", " ".join(signs.get(w, w) for w in words))
+
+
 def word_hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     return words_of(data, np.array([0, len(data)]), ALNUM).hashes

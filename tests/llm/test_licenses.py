@@ -1,5 +1,8 @@
+import random
 import re
 
+import numpy as np
+
 from eventledger.llm import licenses
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,3 +111,44 @@ def test_query_on_whole_table(spark, sf):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base(texts[r.doc_id])
+
+
+def as_regex(markup):
+    """A template as a regular expression over words that each end with a blank."""
+    out = ""
+    for token in re.findall(r"\[|\]|\{\d+-\d+\}|[^\s\[\]{}]+", markup):
+        gap = re.fullmatch(r"\{(\d+)-(\d+)\}", token)
+        out += "(?:" if token == "[" else ")?" if token == "]" else rf"(?:\S+ ){{{gap[1]},{gap[2]}}}" if gap else re.escape(token) + " "
+    return re.compile(rf"(?<!\S){out}")
+
+
+def test_labels_equal_regular_expressions(spark, sf):
+    """All templates on whole tables, and on texts made of their pieces: left out, replaced, cut short, run together."""
+    rng, texts = random.Random(6), [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for markup in licenses.TEMPLATES.values():
+        for _ in range(6):
+            kept = re.sub(r"\[([^\]]*)\]", lambda m: m[1] if rng.random() < 0.5 else "", markup)
+            kept = re.sub(r"\{(\d+)-(\d+)\}", lambda m: " ".join(rng.choice(["Acme", "x", "3", "the"]) for _ in range(rng.randrange(int(m[1]), int(m[2]) + 2))), kept)
+            w = kept.split()
+            if rng.random() < 0.4:
+                w[rng.randrange(len(w))] = rng.choice(["other", ""])
+            texts.append(" ".join([*("so it is".split() * rng.randrange(3)), *w[: len(w) if rng.random() < 0.8 else rng.randrange(len(w))], "end."]))
+    texts += [" ".join(rng.choice(texts[-150:]) for _ in range(3)) for _ in range(60)]
+    plain = {label: as_regex(markup) for label, markup in licenses.TEMPLATES.items()}
+    rows = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    some = 0
+    for r in rows:
+        words = "".join(w + " " for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r.doc_id] or "").translate(LOWER)))
+        want = {label for label, p in plain.items() if p.search(words)} | set(r.base_labels.split(","))
+        assert set(r.labels.split(",")) - {""} == want - {""}, texts[r.doc_id]
+        some += bool(r.labels)
+    assert some > 100
+
+
+def test_spdx_markup():
+    text = """<<beginOptional>>The X License<<endOptional>>
+        Permission is <<var;name="how";original="hereby";match=".{0,20}">> granted <<beginOptional>><<endOptional>>to (all)."""
+    assert licenses.from_spdx(text, 3) == "[ the x license ] permission is {0-3} granted  to all"
+    scanner = licenses.Scanner({"x": licenses.from_spdx(text, 3)}, {})
+    scan = lambda s: scanner.scan(licenses.words_of(np.frombuffer(s.encode(), dtype=np.uint8), np.array([0, len(s.encode())]), licenses.ALNUM))[0][5]
+    assert [scan(s) for s in ("Permission is granted to all", "the X license: permission is quite freely granted to all!", "permission is not ever at all granted to all", "permission is granted to")] == ["x", "x", "", ""]

@@ -1,6 +1,7 @@
 import re
 import time
 
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from eventledger.llm import secrets
@@ -62,6 +63,21 @@ def test_a_path_counts(spark):
     assert score[0] >= score[2] and {r.found[0].score for r in secrets.secrets(docs, None, "doc_id").collect()} == {score[1]}
 
 
+def test_sql_equals_the_forest(spark, monkeypatch):
+    """The share of trees, asked one by one through Spark ML, for findings that it wasn't trained from."""
+    fitted, plain = [], secrets.RandomForestClassifier.fit
+    monkeypatch.setattr(secrets.RandomForestClassifier, "fit", lambda self, rows: fitted.append(plain(self, rows)) or fitted[-1])
+    every = secrets.default_findings(spark, 880).withColumn("n", F.monotonically_increasing_id())
+    score = secrets.forest_sql(every.where("n % 2 = 0"))
+    names = ", ".join(f"y.{x}" for x in secrets.FEATURES)
+    rows = secrets.candidates(every.where("n % 2 = 1"), path="path").where("size(cand) > 0").selectExpr("cand[0] as y").selectExpr(f"{score} as score", names.split(", ")[0], *names.split(", ")[1:]).collect()
+    trees = fitted[0].trees
+    assert len(rows) > 300
+    for r in rows[::7]:
+        votes = [t.predict(Vectors.dense([r[x] for x in secrets.FEATURES])) for t in trees]
+        assert abs(r.score - sum(votes) / len(trees)) < 1e-9
+
+
 def test_degenerate_findings(spark):
     docs = spark.createDataFrame([(1, "token = abcdefghij1234")], "doc_id long, text string")
     none = spark.createDataFrame([], "text string, label int")
