@@ -37,8 +37,16 @@ SAMPLE, FOLDS = 16_000, 4
 STRIKING, SHRINK = 3.0, 2.0
 #: Bytes of word beginnings that the learned lexicon may hold; 0 stands for whole words.
 BEGINNINGS = (0, 3, 4, 5, 6, 7, 8)
-#: Words that insult in themselves.
-LEXICON = "trash pathetic idiot worthless disgusting stupid clown scum loser moron idiots losers morons dumb filthy vermin garbage imbecile".split()
+#: Words that insult in themselves, in four languages (lower case, also without accents).
+LEXICON = """trash pathetic idiot worthless disgusting stupid clown scum loser moron idiots losers morons dumb filthy vermin garbage imbecile
+    fool fools stupidity idiotic moronic jerk jerks creep bastard bastards asshole assholes bitch bitches whore slut fuck fucking fucker shit shitty bullshit crap dumbass dipshit
+    retard retarded lunatic nitwit halfwit dimwit dunce simpleton weakling parasite swine degenerate despicable contemptible repulsive revolting vile subhuman useless
+    idioten trottel dummkopf schwachkopf arschloch arsch scheiße scheisse versager abschaum depp deppen blödmann vollidiot dreckskerl miststück schlampe hure missgeburt widerlich erbärmlich wertlos
+    dumm blöd nichtsnutz hohlkopf ungeziefer
+    idiote idiots imbécile imbéciles crétin crétins abruti abrutis débile connard connards connasse salaud salope ordure ordures minable pourriture vermine enfoiré merde merdeux stupide
+    répugnant méprisable imbecile cretin debile
+    idiota idiotas imbécil imbéciles estúpido estúpida estúpidos tonto tonta cabrón pendejo gilipollas basura escoria inútil payaso asqueroso asquerosa patético mierda puta maldito
+    despreciable imbecil estupido patetico inutil""".split()
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre ti tú usted tus".split()
 
 _LETTER = np.zeros(256, dtype=bool)
