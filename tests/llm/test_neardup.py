@@ -79,6 +79,25 @@ def test_groups_around_the_threshold(spark, k):
     compared(neardup.near_duplicates(docs, k), texts, k)
 
 
+def test_far_copies_are_not_paired_with_each_other(spark, monkeypatch):
+    """A large group whose members are all like the base, which isn't there, and hardly any two like each other."""
+    rng, plain, rows = random.Random(3), neardup.staged, {}
+
+    def counted(frame, tag):
+        out = plain(frame, tag)
+        rows.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = {i: " ".join(rng.choice(words) if rng.random() < 0.035 else w for w in base) for i in range(600)}
+    texts |= {600 + i: " ".join(base[:60] + [rng.choice(words) for _ in range(90)]) for i in range(300)}  # a passage in common
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    compared(neardup.near_duplicates(docs, 5), texts, 5)
+    assert rows["open"][0] > 5_000 and max(rows["pairs"][1:]) < 3_000 and rows["deltas"][0] < 10_000, rows
+
+
 def test_empty_and_null_ids(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
