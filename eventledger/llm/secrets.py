@@ -37,18 +37,13 @@ CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{10,}}+|{_ASSIGNED}
 FINDINGS, TREES, LEVELS, LEAST = 4400, 15, 7, 0.5
 
 #: Common words and word parts, for dictionary coverage; longer ones are tried first.
-WORDS = """about access account action active address admin after allow answer api app archive area array author auto back base batch before between block board body
-    book bridge build button cache call card change check city class click client close cloud code color column commit company config connect content copy core count create
-    current custom data date default delete demo design detail device direct disk display document domain down draft edit email empty enable end engine entry error event example
-    export field file filter final find first fix flag folder font form format found from full function game general get global green group guide hand hash head help hidden
-    high home host house icon image import index info input install int item job join key kind label last layer layout level lib light limit line link list load local location log
-    login long loop main make manage map mark max media member menu message method min mode model module month move name native network new next node note number object offset open
-    option order other output owner pack page panel paper part pass path people phone place plan play point port power price print private process product profile project public query
-    quick range rate read record red release remote report request reset result return right role root row rule run sample save scale schema score screen script search second section
-    select send server service session set share short show side sign simple site size small sort source space spec stack start state static status step store stream string style
-    sub support switch system table tag target task team test text theme this time title token tool top total track tree type unit update upload url user valid value version video view
-    water web week white window with word work world write year your
-    ing ion ent ter con ver all est per ith ate tio res ous ment able ness ship ward""".split()
+WORDS = """access account action address admin after allow archive array author batch before block build button cache call change check class client close cloud code color
+    commit config connect content copy count create current custom data default delete demo device direct display document domain edit email engine error event example
+    export field file filter folder form format from function get global group head help host image import index info input install item key label layer level line link
+    list load local log login main member message method mode model module name network node number object open option order output page panel path print process project
+    public query read record release report request result return root row sample save schema screen script search section select send server service session set share
+    size source start state static status stream string style support switch system table target task test text time title token type update upload user value version
+    view web window your ing ion ent ter con ver ment able""".split()
 #: Common pairs of letters within words.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu ue ff ba ey ls va um pp ua up lu go ht ru ug ds lt pi rc rr eg au ck ew mu br bi pt ak pu ui rg ib tl ny ki rk ys ob mm fu ph og ms ye ud mb ip ub oi rl gu dr hr cc tw ft wn nu af hu nn eo vo rv nf xp gn sm fl iz ok nl my gl aw ju oa eq sy sl ps jo lf nv je nk kn gs dy hy ze ks xt bs ik dd pm bb".split()[:190]
 FOR = r"token|secret|passw|pwd|api[ _-]?key|auth|credential|private|bearer|login|://[a-z0-9_]+:"
